@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .mixing import training_order
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = training_order(read_table(spark, sf_dir, "documents"))
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", "copies", F.floor(F.col("position") * 1_000_000).cast("long").alias("position_ppm"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_mix_sources": op2_mix_sources,
 }
 
 ORACLE_SQL = {
@@ -23,4 +31,30 @@ ORACLE_SQL = {
                row_number() OVER (PARTITION BY x ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
                sha256(x) AS text_sha256
         FROM t WINDOW g AS (PARTITION BY x)""",
+    "op2_mix_sources": """
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':0'), 1, 15))::BIGINT AS h
+            FROM documents),
+        s0 AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
+        s1 AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS k, (3 * total)::DOUBLE AS cap FROM s0),
+        s2 AS (SELECT *, (k + 1)::DOUBLE AS w FROM s1),
+        s3 AS (SELECT *, sum(total::DOUBLE) OVER () - coalesce(sum(cap) OVER b, 0) AS lft,
+                      sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS shr
+               FROM s2 WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        s4 AS (SELECT *, max(CASE WHEN cap > lft / shr * w THEN lft / shr END) OVER () AS lvl FROM s3),
+        s5 AS (SELECT source, total, w, k, CASE WHEN lvl IS NULL OR cap <= lvl * w THEN cap ELSE lvl * w END AS target FROM s4),
+        p AS (SELECT d.*, total, w, k, target, floor(target)::BIGINT AS words,
+                     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id::VARCHAR, size
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+              FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
+        q AS (SELECT *, CASE WHEN total > 0 THEN words // total ELSE 0 END AS whole FROM p),
+        r AS (SELECT *, greatest(0, least(size, words - whole * total - start)) AS part,
+                     start / target * w AS cum, CASE k WHEN 0 THEN 1.5 ELSE 2.0 END::DOUBLE AS w0,
+                     CASE k WHEN 0 THEN -1.0 WHEN 1 THEN 0.0 ELSE 2.0 END::DOUBLE AS slope FROM q),
+        c AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE whole + (part > 0)::BIGINT END AS copies FROM r)
+        SELECT doc_id, size, total AS source_size, target, (whole * size + part)::BIGINT AS taken, copies::BIGINT AS copies,
+               CASE WHEN copies > 0 THEN floor((0.0 + CASE WHEN cum <= 0 THEN 0.0 ELSE
+                   2.0 * cum / (w0 + sqrt(greatest(0.0, w0 * w0 + 2.0 * slope * cum))) END) * 1000000)::BIGINT END AS position_ppm
+        FROM c""",
 }
