@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .mixing import training_order
+from .quality_rules import judged
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +20,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("doc_id", "size", "source_size", "target", "taken", "copies", F.floor(F.col("position") * 1_000_000).cast("long").alias("position_ppm"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op4_quality_rules": op4_quality_rules,
 }
 
 ORACLE_SQL = {
@@ -57,4 +63,29 @@ ORACLE_SQL = {
                CASE WHEN copies > 0 THEN floor((0.0 + CASE WHEN cum <= 0 THEN 0.0 ELSE
                    2.0 * cum / (w0 + sqrt(greatest(0.0, w0 * w0 + 2.0 * slope * cum))) END) * 1000000)::BIGINT END AS position_ppm
         FROM c""",
+    "op4_quality_rules": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (
+            SELECT row_number() OVER () AS r, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words,
+                   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+            FROM d),
+        g AS (
+            SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS k
+            FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+        g2 AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM g),
+        n AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM g2 WHERE c > 1) GROUP BY r),
+        m AS (
+            SELECT doc_id, len(words)::BIGINT AS n_words,
+                   length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+                   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                   len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+                   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+                   (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_upper
+            FROM w LEFT JOIN n USING (r)),
+        f AS (
+            SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+                   + 8 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT + 16 * (10 * n_dup_lines > 3 * n_lines)::BIGINT
+                   + 32 * (2 * n_upper > word_chars)::BIGINT)::BIGINT AS failed
+            FROM m)
+        SELECT *, failed & 3 <> 0 AS base_failed, failed & 39 = 0 AND bit_count(failed & 24) <= 1 AS kept FROM f""",
 }
