@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .mixing import training_order
+from .near_dedup import near_duplicates
 from .quality_rules import judged
 
 
@@ -24,10 +25,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(read_table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op4_quality_rules": op4_quality_rules,
+    "op6_near_dedup": op6_near_dedup,
 }
 
 ORACLE_SQL = {
