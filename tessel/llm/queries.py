@@ -9,6 +9,7 @@ from .common import read_table
 from .exact_dedup import exact_dedup
 from .mixing import training_order
 from .near_dedup import near_duplicates
+from .packing import pack
 from .quality_rules import judged
 
 
@@ -29,11 +30,16 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op4_quality_rules": op4_quality_rules,
     "op6_near_dedup": op6_near_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 
 ORACLE_SQL = {
