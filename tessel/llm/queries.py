@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .mixing import training_order
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality_crf import scored, trained
 from .quality_rules import judged
 
 
@@ -34,12 +35,18 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return scored(docs, trained(docs, read_table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op4_quality_rules": op4_quality_rules,
     "op6_near_dedup": op6_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLE_SQL = {
