@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, quality_crf
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .mixing import training_order
 from .near_dedup import near_duplicates
 from .packing import pack
-from .quality_crf import scored, trained
 from .quality_rules import judged
 
 
@@ -37,7 +37,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return scored(docs, trained(docs, read_table(spark, sf_dir, "labels")))
+    return quality_crf.scored(docs, quality_crf.trained(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.identified(docs, language_id.trained(docs))
 
 
 QUERIES = {
@@ -47,6 +52,7 @@ QUERIES = {
     "op6_near_dedup": op6_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
