@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_crf
+from . import html_extract, language_id, quality_crf
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .mixing import training_order
@@ -35,6 +35,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(read_table(spark, sf_dir, "pages"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality_crf.scored(docs, quality_crf.trained(docs, read_table(spark, sf_dir, "labels")))
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op6_near_dedup": op6_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_html_extraction": op8_html_extraction,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
 }
