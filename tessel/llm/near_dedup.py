@@ -11,11 +11,12 @@ borrow from the first filled bucket of a fixed permutation.
    hub of a family of copies). Proposals are verified on full sets and joined to
    components. Work so far is linear in the rows, however large a bucket is.
 3. Buckets whose members are still in different components hold the only links
-   that could be missing. Their members are dealt out in blocks, pairs of
-   different components are compared by register, with the expected number of
-   chance collisions taken off, and what may reach the threshold is verified.
+   that could be missing. Their members are dealt out in blocks, where members
+   of different components are compared by register, with the expected number
+   of chance collisions taken off. Members that may reach the threshold with
+   another meet once more with their full sets.
 
-Verification streams: the sets of a pair's first member travel to the second's
+Verification of proposals streams: the first member's set travels to the second's
 key, where hubs with many partners are split over several tasks.
 """
 
@@ -38,7 +39,7 @@ BUCKETS, MANTISSA, REST = 256, 10, 53
 BANDS, ROWS = 32, 4
 #: Standard errors below the threshold down to which an estimate still leads to verification.
 SLACK = 4.5
-BLOCK = 1024
+BLOCK = 512
 #: Partners of one hub that a task verifies before the hub's set is sent to another task as well.
 HUB_PARTNERS = 1024
 #: Rows up to which a list of wanted identifiers is broadcast; beyond, it is joined by shuffle.
@@ -216,49 +217,94 @@ def _verified(pairs: DataFrame, rows: DataFrame, source: DataFrame, percent: int
     return stored(together.mapInArrow(_intersect(percent), "a bigint, b bigint").distinct(), "near-links")
 
 
-def _candidates(percent: int) -> Callable:
-    """Groups of members of one bucket: pairs of different components that may reach the threshold."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with the same (bucket, key), which come first; blocks bound their length."""
+    held: list[tuple] = []
+    last = None
+    for batch in batches:
+        for bucket, key, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (bucket, key) != last:
+                if len(held) > 1:
+                    yield last, held
+                held, last = [], (bucket, key)
+            held.append(tuple(row))
+    if len(held) > 1:
+        yield last, held
+
+
+def _partners(i: int, bucket: int, side, comp, n, bands, regs, percent: int) -> np.ndarray:
+    """Members that may reach the threshold with member i and are to be compared with it here.
+
+    They are of another component, near enough in size and by estimate, and
+    share no earlier band with it (there the pair is compared already).
+    """
     goal = percent / 100
+    others = np.flatnonzero((comp != comp[i]) & ((side == 1) | (np.arange(len(side)) > i)) & (n * 100 >= n[i] * percent) & (n[i] * 100 >= n * percent))
+    if len(others):
+        others = others[(bands[others] == bands[i]).argmax(axis=1) == np.flatnonzero(bands[i] == bucket)[0]]
+    if len(others):
+        guess, based_on = estimates(regs[i], regs[others], n[i], n[others])
+        others = others[guess >= goal - SLACK * np.sqrt(goal * (1 - goal) / based_on)]
+    return others
 
-    def pairs_of(side, node, comp, n, regs) -> list[tuple[int, int]]:
-        out = []
-        for i in np.flatnonzero(side == 0):
-            others = np.flatnonzero((comp != comp[i]) & ((side == 1) | (np.arange(len(side)) > i)) & (n * 100 >= n[i] * percent) & (n[i] * 100 >= n * percent))
-            if len(others):
-                guess, based_on = estimates(regs[i], regs[others], n[i], n[others])
-                good = guess >= goal - SLACK * np.sqrt(goal * (1 - goal) / based_on)
-                out.extend((min(node[i], o), max(node[i], o)) for o in node[others[good]])
-        return out
+
+def _members(held: list[tuple]) -> tuple:
+    side, node, comp, n, bands, regs = list(zip(*held))[:6]
+    return *(np.array(c, np.int64) for c in (side, node, comp, n)), np.array(bands, np.int64), np.frombuffer(b"".join(regs), np.uint16).reshape(-1, BUCKETS)
+
+
+def _promising(percent: int) -> Callable:
+    """Of groups of members, those members that have a partner by estimate (at most one row for each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        last = None
+        for (bucket, key), held in _groups(batches):
+            side, node, comp, n, bands, regs = _members(held)
+            hit = np.zeros(len(node), bool)
+            for i in np.flatnonzero(side == 0):
+                others = _partners(i, bucket, side, comp, n, bands, regs, percent)
+                if len(others):
+                    hit[i] = hit[others] = True
+            if hit.any():
+                rows = np.flatnonzero(hit)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(rows), pa.int64()), pa.array([key] * len(rows)), pa.array(side[rows]), pa.array(node[rows]), pa.array(comp[rows])], names=["_bucket", "_key", "_s", "_row", "_comp"])
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                columns = list(zip(*held))
-                found = pairs_of(*(np.array(c, np.int64) for c in columns[:4]), np.frombuffer(b"".join(columns[4]), np.uint16).reshape(-1, BUCKETS))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
-            held.clear()
+    return run
 
-        for batch in batches:
-            for bucket, group, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (bucket, group) != last:
-                    yield from done()
-                    last = (bucket, group)
-                held.append(row)
-        yield from done()
+
+def _group_links(percent: int) -> Callable:
+    """Of groups of members with full sets: verified links, none between what links of the group join already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, _), held in _groups(batches):
+            side, node, comp, n, bands, regs = _members(held)
+            sets = [np.frombuffer(row[6], np.uint64) for row in held]
+            joined = comp.copy()
+            found = []
+            for i in np.flatnonzero(side == 0):
+                others = _partners(i, bucket, side, joined, n, bands, regs, percent)
+                if not len(others):
+                    continue
+                own, many = sets[i], np.concatenate([sets[j] for j in others])
+                at = np.minimum(np.searchsorted(own, many), len(own) - 1)
+                both = np.add.reduceat((own[at] == many).astype(np.int64), np.concatenate([[0], np.cumsum(n[others])[:-1]]))
+                for j in others[100 * both >= percent * (n[i] + n[others] - both)]:
+                    if joined[j] != joined[i]:
+                        found.append((node[i], node[j]))
+                        joined[joined == joined[j]] = joined[i]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
     return run
 
 
-def _remaining(multi: DataFrame, tops: DataFrame, comps: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs between components inside a bucket, compared in blocks of members.
+def _late_links(multi: DataFrame, tops: DataFrame, comps: DataFrame, rows: DataFrame, source: DataFrame, percent: int, words: int) -> DataFrame:
+    """Verified links between components inside a bucket, compared in blocks of members.
 
     Per bucket, members of the top's component (side 1) meet only the others
     (side 0), the others also each other. A member of side 1 is sent once per
-    block of side 0, one of side 0 once per block of either side.
+    block of side 0, one of side 0 once per block of either side. Registers tell
+    which members have a partner at all; only those are sent with their sets.
+    Pairs never become rows: a group gives at most one link per member.
     """
     placed = multi.join(comps.withColumnRenamed("node", "_row"), "_row", "left").withColumn("_comp", F.coalesce("comp", "_row")).drop("comp")
     top = tops.select("_bucket", F.col("_top").alias("_row")).join(comps.withColumnRenamed("node", "_row"), "_row", "left").select("_bucket", F.coalesce("comp", "_row").alias("_main"))
@@ -272,11 +318,19 @@ def _remaining(multi: DataFrame, tops: DataFrame, comps: DataFrame, rows: DataFr
     groups = F.when(F.col("_side") == 1, F.transform(to("_blocks0"), lambda i: group(1, i, block))).otherwise(
         F.concat(F.transform(to("_blocks1"), lambda j: group(1, block, j)), F.transform(F.filter(to("_blocks0"), lambda i: i != block), lambda i: group(0, F.least(i, block), F.greatest(i, block))))
     )
-    sent = each.select("_bucket", "_side", "_row", "_comp", F.explode(groups).alias("_group")).join(rows.select("_row", "_n", "_regs"), "_row")
+    sent = each.select("_bucket", "_side", "_row", "_comp", F.explode(groups).alias("_group"))
     # In a group of two blocks of side 0, all members are compared with each other.
     side = F.when(F.col("_group.kind") == 1, F.col("_side")).otherwise(F.lit(0).cast("long"))
-    keyed = sent.select("_bucket", F.concat_ws(":", "_group.kind", "_group.i", "_group.j").alias("_key"), side.alias("_s"), "_row", "_comp", "_n", "_regs")
-    return keyed.repartition("_bucket", "_key").sortWithinPartitions("_bucket", "_key", "_row").mapInArrow(_candidates(percent), "a bigint, b bigint").distinct()
+    keyed = sent.select("_bucket", F.concat_ws(":", "_group.kind", "_group.i", "_group.j").alias("_key"), side.alias("_s"), "_row", "_comp")
+    sketches = rows.select("_row", "_n", "_bands", "_regs")
+    dealt = lambda df: df.repartition("_bucket", "_key").sortWithinPartitions("_bucket", "_key", "_row")
+    promising = stored(dealt(keyed.join(sketches, "_row")).mapInArrow(_promising(percent), "_bucket bigint, _key string, _s bigint, _row bigint, _comp bigint"), "near-promising")
+    nodes = promising.select("_row").distinct()
+    wanted = stored(nodes.join(rows.select("_row", F.col("_id").alias("_wanted"), "_digest"), "_row"), "near-wanted")
+    zero = F.lit(0).cast("long")
+    texts = source.join(_limited(wanted), F.col("_id").eqNullSafe(F.col("_wanted"))).select("_text", "_digest", F.col("_row").alias("_node"), zero.alias("_key"), zero.alias("_part"), F.lit(0).alias("_role"))
+    sets = texts.mapInArrow(_sets(words), "_key bigint, _part bigint, _role int, _node bigint, _set binary").select(F.col("_node").alias("_row"), "_set")
+    return stored(dealt(promising.join(sketches, "_row").join(sets, "_row")).mapInArrow(_group_links(percent), "a bigint, b bigint").distinct(), "near-late")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -308,7 +362,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     proposals = multi.join(tops, "_bucket").groupBy("_row").agg(F.max("_best").alias("_best")).select(F.col("_row").alias("a"), (-F.col("_best._minus")).alias("b")).where("a <> b")
     first = _verified(stored(proposals, "near-proposals"), rows, source, percent, words)
     comps = components(first)
-    rest = _verified(stored(_remaining(multi.select("_bucket", "_row"), tops, comps, rows, percent), "near-rest"), rows, source, percent, words)
+    rest = _late_links(multi.select("_bucket", "_row"), tops, comps, rows, source, percent, words)
     comps = components(first.union(rest))
     named = classes.join(comps.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_comp", F.coalesce("comp", "_node"))
     least = named.groupBy("_comp").agg(F.min("_least").alias("_component"))
