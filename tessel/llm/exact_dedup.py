@@ -255,7 +255,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     payload = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.lit(True).alias("held"))
     rows = _rows(docs, id_col, text_col, None, id_type, payload)
     kind = rows.schema["_rest"].dataType
-    arrow = to_arrow_type(kind, timezone="UTC")
+    arrow = to_arrow_type(kind)
     ddl = kind.simpleString()
     local = rows.mapInArrow(_combine(id_type, largest, trie_bytes, arrow), f"{_combined_schema(id_type)}, _rest {ddl}")
     terminals = local.select("_length", "_digest", "_key", "_text", "_smallest", "_largest", "_count", "_rest")

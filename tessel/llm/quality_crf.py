@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -223,8 +224,6 @@ def scored(docs: DataFrame, model: Crf, *, id_col: str = "doc_id", text_col: str
 
 def accepted(docs: DataFrame, model: Crf, *, text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
     """The rows of docs with a score from accept on, with all their columns; the score is taken in one pass."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(quality([t or b"" for t in texts], model))
