@@ -203,7 +203,8 @@ def _join(cols, v, env, sep):
 
 @rule("explode")
 def _explode(cols, v, env):
-    return Val(F.transform(F.split(as_string(v).column, ""), lambda c: F.ascii(c).cast("long")), T.ArrayType(LONG))
+    letters = F.filter(F.split(as_string(v).column, ""), lambda c: c != "")
+    return Val(F.transform(letters, lambda c: F.ascii(c).cast("long")), T.ArrayType(LONG))
 
 
 # -- containers

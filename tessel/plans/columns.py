@@ -151,6 +151,8 @@ def common_type(vals: list[Val]) -> T.DataType:
         if all(isinstance(t, T.IntegralType) for t in known):
             return LONG
         return DOUBLE
+    if all(isinstance(t, T.ArrayType) for t in known):
+        return T.ArrayType(common_type([Val(None, t.elementType) for t in known]))
     raise LoweringError(f"types {first.simpleString()} and others have no common column type")
 
 
@@ -326,6 +328,8 @@ class Columns:
             return Val(F.lit("null"), STRING)
         if kind == "variant":
             return Val(F.when(F.schema_of_variant(v.column) == "STRING", F.try_variant_get(v.column, "$", "string")).otherwise(F.to_json(v.column)), STRING)
+        if _has_fractions(v.to_type()):
+            raise LoweringError("JSON text prints whole numbers without a fraction")
         return Val(F.to_json(v.to_column(), {"ignoreNullFields": "false"}), STRING)
 
     def _binary(self, node, v, env):
@@ -563,6 +567,21 @@ class Columns:
                 return Val(F.when(keep, F.array(v.to_column())).otherwise(F.array().cast(t)), t)
             case A.Call("empty", ()):
                 return Val(F.array(), T.ArrayType(T.NullType()))
+            case A.Call("first" | "last" as name, (f,)):
+                items = self.many(f, v, env)
+                return Val(F.slice(items.column, 1, 1) if name == "first" else F.slice(F.reverse(items.column), 1, 1), items.type)
+            case A.Binary(op, a, b) if self.is_many(node, env):
+                left, right = self.many(a, v, env), self.many(b, v, env)
+                made: list = []
+                do = self.compute if op in "+-*/%" else self.compare
+
+                def pair(x: Column, y: Column) -> Column:
+                    out = do(op, of_column(x, element(left)), of_column(y, element(right)))
+                    made.append(T.ArrayType(out.type))
+                    return out.column
+
+                pairs = F.transform(left.column, lambda x: F.transform(right.column, lambda y: pair(x, y)))
+                return Val(F.flatten(pairs), made[0])
             case A.Call("range", args) if len(args) <= 2:
                 low = cast(self.one(args[0], v, env), LONG) if len(args) == 2 else F.lit(0).cast("long")
                 high = F.ceil(as_number(self.one(args[-1], v, env)).column).cast("long")
@@ -615,6 +634,8 @@ class Columns:
         match node:
             case A.Comma() | A.Iterate() | A.RecurseAll() | A.Call("select" | "empty" | "range" | "values" | "nulls" | "numbers" | "strings" | "booleans" | "arrays" | "objects", _):
                 return True
+            case A.Call("first" | "last", (_,)):
+                return True
             case A.ArrayOf() | A.Literal() | A.Reduce():
                 return False
             case A.Call(name, args) if (name, len(args)) in env:
@@ -634,6 +655,16 @@ class Columns:
         return any(self.is_many(c, env) for c in node.children())
 
 
+def _has_fractions(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return any(_has_fractions(f.dataType) for f in t.fields)
+    if isinstance(t, T.MapType):
+        return _has_fractions(t.valueType)
+    if isinstance(t, T.ArrayType):
+        return _has_fractions(t.elementType)
+    return isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType))
+
+
 def _quoted(key: str) -> str:
     return '"' + key.replace("\\", "\\\\").replace('"', '\\"') + '"'
 
