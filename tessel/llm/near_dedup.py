@@ -323,14 +323,15 @@ def _late_links(multi: DataFrame, tops: DataFrame, comps: DataFrame, rows: DataF
     side = F.when(F.col("_group.kind") == 1, F.col("_side")).otherwise(F.lit(0).cast("long"))
     keyed = sent.select("_bucket", F.concat_ws(":", "_group.kind", "_group.i", "_group.j").alias("_key"), side.alias("_s"), "_row", "_comp")
     sketches = rows.select("_row", "_n", "_bands", "_regs")
-    dealt = lambda df: df.repartition("_bucket", "_key").sortWithinPartitions("_bucket", "_key", "_row")
+    order = ["_bucket", "_key", "_s", "_row", "_comp", "_n", "_bands", "_regs"]
+    dealt = lambda df, *more: df.select(*order, *more).repartition("_bucket", "_key").sortWithinPartitions("_bucket", "_key", "_row")
     promising = stored(dealt(keyed.join(sketches, "_row")).mapInArrow(_promising(percent), "_bucket bigint, _key string, _s bigint, _row bigint, _comp bigint"), "near-promising")
     nodes = promising.select("_row").distinct()
     wanted = stored(nodes.join(rows.select("_row", F.col("_id").alias("_wanted"), "_digest"), "_row"), "near-wanted")
     zero = F.lit(0).cast("long")
     texts = source.join(_limited(wanted), F.col("_id").eqNullSafe(F.col("_wanted"))).select("_text", "_digest", F.col("_row").alias("_node"), zero.alias("_key"), zero.alias("_part"), F.lit(0).alias("_role"))
     sets = texts.mapInArrow(_sets(words), "_key bigint, _part bigint, _role int, _node bigint, _set binary").select(F.col("_node").alias("_row"), "_set")
-    return stored(dealt(promising.join(sketches, "_row").join(sets, "_row")).mapInArrow(_group_links(percent), "a bigint, b bigint").distinct(), "near-late")
+    return stored(dealt(promising.join(sketches, "_row").join(sets, "_row"), "_set").mapInArrow(_group_links(percent), "a bigint, b bigint").distinct(), "near-late")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD, words: int = WORDS) -> DataFrame:
