@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm.common import read_table, shared_dir
+from tessel.llm.common import delete, read_table, released, shared_dir
 from tessel.llm.exact_dedup import deduplicated
 from tessel.llm.mixing import mixed
 from tessel.llm.near_dedup import without_near_duplicates
@@ -56,10 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table; only the last stage's table stays in the shared folder."""
     docs = read_table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{at}/{i}")
+        with released(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{at}/{i}")
         docs = spark.read.parquet(f"{at}/{i}")
+        if i:
+            delete(spark, f"{at}/{i - 1}")
     return docs
