@@ -61,6 +61,12 @@ class Program:
         """The tier that run takes: typed, json, or interpreter."""
         return self._run(df, _keys(df, None, json), json)[0]
 
+    def explain(self, df: DataFrame, json: str | None = None) -> str:
+        """The tier, the inferred shapes and Spark's plan."""
+        tier, out = self._run(df, _keys(df, None, json), json)
+        given, outputs = self.infer()
+        return f"tier: {tier}\ninput: {given}\noutputs: {', '.join(map(str, outputs))}\n{out._jdf.queryExecution().toString()}"
+
     def run(self, df: DataFrame, *, keys: list[str] | None = None, json: str | None = None, tier: str | None = None) -> DataFrame:
         """Rows (keys, ord, value, error), one for every output of every document.
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..lang import ast as A
-from ..plans.columns import Columns, LoweringError, Val, of_column
+from ..plans.columns import Columns, LoweringError, Val, condition, of_column
 
 ERROR = "struct<code string, message string>"
 RECURSION = 20_000
@@ -36,7 +36,8 @@ def run_documents(df: DataFrame, node: A.Node, keys: list[str]) -> DataFrame:
     of outputs, ord counting from 0. Raises LoweringError where the program has
     no typed form.
     """
-    cols, v = Columns(), row_value(df)
+    cols = Columns()
+    df, node, v = narrowed(df, node, row_value(df), cols)
     kept = [F.col(f"`{k}`") for k in keys]
     if not cols.is_many(node, {}):
         out = cols.one(node, v, {})
@@ -45,6 +46,20 @@ def run_documents(df: DataFrame, node: A.Node, keys: list[str]) -> DataFrame:
     return df.select(*kept, F.posexplode(items.column).alias("ord", "value")).withColumn("error", F.lit(None).cast(ERROR))
 
 
+def narrowed(df: DataFrame, node: A.Node, v: Val, cols: Columns) -> tuple[DataFrame, A.Node, Val]:
+    """Take leading selects out of a program as where clauses, which the scan can use."""
+    while True:
+        match node:
+            case A.Call("select", (test,)):
+                node = A.Pipe(node, A.Identity())
+            case A.Pipe(A.Call("select", (test,)), rest) if not cols.is_many(test, {}):
+                df, node = df.where(condition(cols.one(test, v, {}))), rest
+            case A.Pipe(left, right) if not cols.is_many(left, {}) and cols.is_many(right, {}):
+                v, node = cols.one(left, v, {}), right
+            case _:
+                return df, node, v
+
+
 def _interpret(node: A.Node, n_keys: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..plans.interpreter import Env, Interpreter

@@ -570,6 +570,17 @@ class Columns:
             case A.Call("first" | "last" as name, (f,)):
                 items = self.many(f, v, env)
                 return Val(F.slice(items.column, 1, 1) if name == "first" else F.slice(F.reverse(items.column), 1, 1), items.type)
+            case A.Call("limit" | "skip" | "nth" as name, (n, f)):
+                items, k = self.many(f, v, env), self.one(n, v, env).constant
+                if not isinstance(k, float) or k < 0 or k != int(k):
+                    raise LoweringError("the number of outputs must be a whole constant")
+                bounds = {"limit": (F.lit(1), F.lit(int(k))), "skip": (F.lit(int(k) + 1), F.size(items.column)), "nth": (F.lit(int(k) + 1), F.lit(1))}
+                return Val(F.slice(items.column, *bounds[name]), items.type)
+            case A.Call("scan" | "splits" as name, (A.Literal(str(pattern)),)):
+                if name == "scan" and re.search(r"(?<!\\)\((?!\?[:=!<])", pattern):
+                    raise LoweringError("matches with groups are left to the interpreter")
+                s = as_string(v).column
+                return Val(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)) if name == "scan" else F.split(s, pattern), T.ArrayType(STRING))
             case A.Binary(op, a, b) if self.is_many(node, env):
                 left, right = self.many(a, v, env), self.many(b, v, env)
                 made: list = []
@@ -632,7 +643,7 @@ class Columns:
     def is_many(self, node: A.Node, env: dict) -> bool:
         """Whether a part may have other than one output."""
         match node:
-            case A.Comma() | A.Iterate() | A.RecurseAll() | A.Call("select" | "empty" | "range" | "values" | "nulls" | "numbers" | "strings" | "booleans" | "arrays" | "objects", _):
+            case A.Comma() | A.Iterate() | A.RecurseAll() | A.Call("select" | "empty" | "range" | "limit" | "skip" | "scan" | "splits" | "match" | "recurse" | "while" | "until" | "repeat", _) | A.Call("nth", (_, _)):
                 return True
             case A.Call("first" | "last", (_,)):
                 return True
