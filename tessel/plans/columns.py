@@ -510,6 +510,52 @@ class Columns:
         step = lambda acc, x: cast(self.one(node.update, Val(acc, t), env | {f"${node.pattern.name}": of_column(x, element(items))}), t)
         return Val(F.aggregate(items.column, cast(start, t), step), t)
 
+    def _assign(self, node, v, env):
+        """Assignment to a path of constant fields and iterations."""
+        path = self.steps(node.target, env)
+        new = None if node.op == "|=" else self.one(node.value, v, env)
+
+        def change(old: Val) -> Val:
+            if node.op == "=":
+                return new
+            if node.op == "|=":
+                return self.one(node.value, old, env)
+            if node.op == "//=":
+                return self.choose(Val(truthy(old), BOOLEAN), old, new) if old.kind != "null" else new
+            return self.compute(node.op[:-1], old, new)
+
+        return self.updated(v, path, change)
+
+    def steps(self, node: A.Node, env: dict) -> list:
+        match node:
+            case A.Identity():
+                return []
+            case A.Index(target, A.Literal(str(k))):
+                return [*self.steps(target, env), k]
+            case A.Iterate(target):
+                return [*self.steps(target, env), None]
+            case A.Pipe(a, b):
+                return self.steps(a, env) + self.steps(b, env)
+        raise LoweringError("this path is left to the interpreter")
+
+    def updated(self, v: Val, path: list, change) -> Val:
+        if not path:
+            return change(v)
+        key, rest = path[0], path[1:]
+        if key is None:
+            items, types = as_array(v), []
+
+            def each(x: Column) -> Column:
+                out = self.updated(of_column(x, element(items)), rest, change)
+                types.append(T.ArrayType(out.to_type()))
+                return out.to_column()
+
+            made = F.transform(items.column, each)
+            return Val(made, types[0])
+        if v.fields is None:
+            raise LoweringError(f"{v.kind} has no field to assign")
+        return Val(fields=v.fields | {key: self.updated(v.fields.get(key, literal(None)), rest, change)})
+
     def _try(self, node, v, env):
         if node.handler is not None:
             raise LoweringError("a handler needs the error's value")
@@ -581,6 +627,8 @@ class Columns:
                     raise LoweringError("matches with groups are left to the interpreter")
                 s = as_string(v).column
                 return Val(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)) if name == "scan" else F.split(s, pattern), T.ArrayType(STRING))
+            case A.Foreach(source, pattern, init, update, extract) if pattern.kind == "var":
+                return self.running(self.many(source, v, env), pattern.name, self.one(init, v, env), update, extract, env)
             case A.Binary(op, a, b) if self.is_many(node, env):
                 left, right = self.many(a, v, env), self.many(b, v, env)
                 made: list = []
@@ -615,6 +663,22 @@ class Columns:
                 return self.called(node, env[name, len(args)], env, lambda body, inner: self.many(body, v, inner))
         return array_of([self.one(node, v, env)])
 
+    def running(self, items: Val, name: str, start: Val, update: A.Node, extract: A.Node, env: dict) -> Val:
+        """foreach: an aggregate that carries the state and the array of outputs so far."""
+        if start.kind not in ("number", "string", "boolean"):
+            raise LoweringError("this foreach has no aggregate form")
+        t = DOUBLE if start.kind == "number" else start.type
+        bound = lambda x: env | {f"${name}": of_column(x, element(items))}
+        sample = self.one(extract, Val(F.lit(None).cast(t), t), bound(F.lit(None).cast(element(items)))).to_type()
+
+        def step(acc: Column, x: Column) -> Column:
+            state = cast(self.one(update, Val(acc["s"], t), bound(x)), t)
+            out = self.one(extract, Val(state, t), bound(x)).to_column().cast(sample)
+            return F.struct(state.alias("s"), F.concat(acc["o"], F.array(out)).alias("o"))
+
+        empty = F.struct(cast(start, t).alias("s"), F.array().cast(T.ArrayType(sample)).alias("o"))
+        return Val(F.aggregate(items.column, empty, step, lambda acc: acc["o"]), T.ArrayType(sample))
+
     @staticmethod
     def _noted(types: list, v: Val) -> Column:
         types.append(v.type)
@@ -647,7 +711,9 @@ class Columns:
                 return True
             case A.Call("first" | "last", (_,)):
                 return True
-            case A.ArrayOf() | A.Literal() | A.Reduce():
+            case A.Foreach():
+                return True
+            case A.ArrayOf() | A.Literal() | A.Reduce() | A.Assign():
                 return False
             case A.Call(name, args) if (name, len(args)) in env:
                 params, body, its = env[name, len(args)]

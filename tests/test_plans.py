@@ -23,7 +23,7 @@ TYPED = [
     ".x + 1", ".n * 2 - .k", ".n % 3", ".x / 2", ".k / .x", "-.x", ".n == 5", ".x < 1", ".x >= 0", ".s == \"\"", ".t == null", ".t != null", ".s < \"b\"", ".f and .x > 0", ".f or .x > 0", ".f | not",
     "if .x > 0 then \"p\" elif .x < 0 then \"n\" else \"z\" end", ".t // \"none\"", ".o.a + 1", ".o | .b", ".o.zzz", ".v[0]", ".v[-1]", ".v[5]", ".v[1:]", ".v[:-1]", ".s[1:3]", ".v | length", ".s | length", ".w | length",
     ".v | map(. * 2)", ".v | map(select(. > 1))", "[.v[] | select(. > 1) | . + .]", "[.v[], .x]", "[.v[] | ., -.]", ".v | sort", ".v | unique", ".v | reverse", ".w | join(\"-\")", ".s | split(\",\")", ".s | split(\"\")",
-    ".v | add", ".w | add", ".t | values", "[.v[] | values]", "[.t, .s] | map(values)", ".n | numbers", ".s | numbers", "[.v[] | scalars]", "[limit(2; .v[])]", "nth(1; .v[])", "[.s | scan(\"[a-c]\")]", "[.s | splits(\", *\")]", "[skip(1; .v[])]", "[.v, [9]] | add", ".v | min", ".v | max", ".v | any(. > 2)", ".v | all(. > 0)", "any(.v[]; . > 2)", "reduce .v[] as $e (0; . + $e * 2)", ".v | first", ".v | last", "[.v[] as $e | $e + .x]",
+    "(.o.a = 5) | .o.a", "(.x += 1) | .x", "(.v[] += 1) | .v", "(.o.a |= . * 2) | .o", "(.zz = .x) | .zz", "(.t //= \"d\") | .t", "[foreach .v[] as $e (0; . + $e)]", "[foreach .v[] as $e (0; . + $e; . * 2)] | add", ".v | add", ".w | add", ".t | values", "[.v[] | values]", "[.t, .s] | map(values)", ".n | numbers", ".s | numbers", "[.v[] | scalars]", "[limit(2; .v[])]", "nth(1; .v[])", "[.s | scan(\"[a-c]\")]", "[.s | splits(\", *\")]", "[skip(1; .v[])]", "[.v, [9]] | add", ".v | min", ".v | max", ".v | any(. > 2)", ".v | all(. > 0)", "any(.v[]; . > 2)", "reduce .v[] as $e (0; . + $e * 2)", ".v | first", ".v | last", "[.v[] as $e | $e + .x]",
     ".s | startswith(\"a\")", ".s | endswith(\"B\")", ".s | ltrimstr(\"ab\")", ".s | rtrimstr(\"c\")", ".s | ascii_upcase", ".s | ascii_downcase", ".s | test(\"a.\"; \"i\")", ".s | gsub(\"[A-Z]\"; \"_\")", ".s | contains(\"b\")",
     ".x | floor", ".x | ceil", ".x | round", ".x | trunc", ".x | abs", ".k | sqrt", "pow(.k; 2)", ".n | tostring", ".x | tostring", "\"<\\(.n)|\\(.s)>\"", "[.n, 2] | tojson", ".f | tostring", ".k | type", ".t | type", ".v | type", ".o | type",
     "{a: .x, b: (.v | length)} | .a + .b", "{a: 1} + {b: .x} | .b", "[.v[] - 1]", ".v - [1]", "[1, 2] * 3", ".s * 2", "[range(3)] | map(. + 1)", "[range(.n)] | length", ".v | to_entries | map(.key)", ".v | sort_by(-.)", ".v | map({e: .}) | max_by(.e) | .e",
