@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .lang import ast as A
 from .lang import parse
-from .operators.documents import ERROR, row_value, run_documents, run_json
+from .operators.documents import ERROR, row_value, run_documents, run_json, spread
 from .operators.shape_ops import check_json, check_rows
 from .plans.columns import Columns, LoweringError, of_column
 from .plans.relational import Relational
@@ -84,6 +84,7 @@ class Program:
             except LoweringError:
                 if tier:
                     raise
+        df = spread(df)
         if json:
             return "interpreter", run_json(df, node, json, keys)
         text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'"})
@@ -98,10 +99,10 @@ class Program:
         if not ddl.startswith(("STRUCT", "ARRAY")):
             raise LoweringError("scalar documents are left to the interpreter")
         text = F.col(f"`{json}`")
-        source = df.select(*[F.col(f"`{k}`") for k in keys], text.alias("_text"), F.from_json(text, ddl).alias("_d"))
+        source = df.select(*[F.col(f"`{k}`") for k in keys], text.alias("_text"), F.from_json(text, ddl).alias("_d"), F.try_parse_json(text).alias("_parsed"))
         # Documents that don't have the shape become error rows that say where and why.
-        source = source.select("*", check_column(self.infer()[0], F.try_parse_json("_text")).alias("_m"))
-        bad = F.col("_m").isNotNull() | F.try_parse_json("_text").isNull()
+        source = source.select("*", check_column(self.infer()[0], F.col("_parsed")).alias("_m"))
+        bad = F.col("_m").isNotNull() | F.col("_parsed").isNull()
         message = F.coalesce(F.concat(F.lit("at "), F.col("_m.path"), F.lit(", expected "), F.col("_m.expected"), F.lit(", got "), F.col("_m.got")), F.lit("the document is not valid JSON"))
         error = F.when(bad, F.struct(F.lit("shape").alias("code"), message.alias("message"))).cast(ERROR)
         cols, v = Columns(), of_column(F.col("_d"), t)

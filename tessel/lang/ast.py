@@ -8,6 +8,13 @@ from typing import Any, Iterator
 
 @dataclass(frozen=True)
 class Node:
+    def __getstate__(self) -> dict:
+        """Fields only: what an evaluator notes on a node stays in its process."""
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+
     def children(self) -> Iterator[Node]:
         for f in fields(self):
             yield from _nodes(getattr(self, f.name))

@@ -60,6 +60,20 @@ def narrowed(df: DataFrame, node: A.Node, v: Val, cols: Columns) -> tuple[DataFr
                 return df, node, v
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores if the input has too few splits for them: the interpreter is bound by the processor.
+
+    Spark's own size estimate decides, so a large input is never shuffled.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split // 4 else df
+
+
 def _interpret(node: A.Node, n_keys: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..plans.interpreter import Env, Interpreter

@@ -20,8 +20,8 @@ def check_json(df: DataFrame, shape: Shape, text_col: str, keys: list[str]) -> D
 
     A text that isn't JSON is reported at its root; a null text isn't checked.
     """
-    text = F.col(f"`{text_col}`")
-    parsed = F.try_parse_json(text)
+    df = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text_col}`").alias("_text")).withColumn("_parsed", F.try_parse_json("_text"))
+    text, parsed = F.col("_text"), F.col("_parsed")
     from ..shapes.algebra import render
 
     broken = F.struct(F.lit(".").alias("path"), F.lit(render(shape, False)).alias("expected"), text.alias("got"))
