@@ -20,8 +20,9 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """position_ppm is the first training time in millionths, -1 for documents that the mix leaves out."""
     ordered = training_order(read_table(spark, sf_dir, "documents"))
-    return ordered.select("doc_id", "size", "source_size", "target", "taken", "copies", F.floor(F.col("position") * 1_000_000).cast("long").alias("position_ppm"))
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", "copies", F.coalesce(F.floor(F.col("position") * 1_000_000).cast("long"), F.lit(-1).cast("long")).alias("position_ppm"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +104,7 @@ ORACLE_SQL = {
         c AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE whole + (part > 0)::BIGINT END AS copies FROM r)
         SELECT doc_id, size, total AS source_size, target, (whole * size + part)::BIGINT AS taken, copies::BIGINT AS copies,
                CASE WHEN copies > 0 THEN floor((0.0 + CASE WHEN cum <= 0 THEN 0.0 ELSE
-                   2.0 * cum / (w0 + sqrt(greatest(0.0, w0 * w0 + 2.0 * slope * cum))) END) * 1000000)::BIGINT END AS position_ppm
+                   2.0 * cum / (w0 + sqrt(greatest(0.0, w0 * w0 + 2.0 * slope * cum))) END) * 1000000)::BIGINT ELSE -1 END AS position_ppm
         FROM c""",
     "op4_quality_rules": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
