@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .lang import ast as A
 from .lang import parse
-from .operators.documents import ERROR, row_value, run_documents, run_json, spread
+from .operators.documents import ERROR, run_documents, run_json, spread
 from .operators.shape_ops import check_json, check_rows
 from .plans.columns import Columns, LoweringError, of_column
 from .plans.relational import Relational
@@ -130,4 +130,4 @@ def compile(text: str) -> Program:  # noqa: A001
     return Program(text, parse(text))
 
 
-__all__ = ["Program", "compile", "row_value"]
+__all__ = ["Program", "compile"]

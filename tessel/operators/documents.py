@@ -7,7 +7,6 @@ interpreter in Arrow batches; explain tells which one a program takes.
 
 from __future__ import annotations
 
-import functools
 import sys
 from collections.abc import Callable, Iterator
 
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..lang import ast as A
-from ..plans.columns import Columns, LoweringError, Val, condition, of_column
+from ..plans.columns import Columns, Val, condition, of_column
 
 ERROR = "struct<code string, message string>"
 RECURSION = 20_000
@@ -112,11 +111,3 @@ def run_json(df: DataFrame, node: A.Node, text_col: str, keys: list[str]) -> Dat
     rows = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text_col}`").cast("string").alias("_json"))
     schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("ord", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("error", T.DataType.fromDDL(ERROR))])
     return rows.mapInArrow(_interpret(node, len(keys)), schema)
-
-
-@functools.cache
-def tiers() -> tuple[str, ...]:
-    return ("typed", "json", "interpreter")
-
-
-__all__ = ["LoweringError", "row_value", "run_documents", "run_json", "tiers"]

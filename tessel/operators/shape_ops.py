@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shapes.algebra import BLOB, BOOL, NULL, NUMBER, STRING, Arr, Obj, Shape, Union
+from ..shapes.algebra import BLOB, BOOL, NULL, NUMBER, STRING, Arr, Obj, Shape, render
 from ..shapes.check import check_column
 
 
@@ -22,8 +22,6 @@ def check_json(df: DataFrame, shape: Shape, text_col: str, keys: list[str]) -> D
     """
     df = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text_col}`").alias("_text")).withColumn("_parsed", F.try_parse_json("_text"))
     text, parsed = F.col("_text"), F.col("_parsed")
-    from ..shapes.algebra import render
-
     broken = F.struct(F.lit(".").alias("path"), F.lit(render(shape, False)).alias("expected"), text.alias("got"))
     return _report(df, F.when(text.isNull(), None).when(parsed.isNull(), broken).otherwise(check_column(shape, parsed)), keys)
 
@@ -64,6 +62,3 @@ def _of_type(t: T.DataType) -> Shape:
     if isinstance(t, T.StructType):
         return Obj(tuple((f.name, _of_type(f.dataType)) for f in t.fields))
     return BLOB
-
-
-__all__ = ["Union", "check_json", "check_rows", "observed_shape", "observed_type"]
