@@ -1,8 +1,8 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 Every block element is a node that either holds main text or doesn't. Its own
-potential comes from tag, class and id names, text amount, sentence ends and
-link share; a parent-child potential ties neighbours. Messages go up the tree
+potential comes from tag, class and id names (its own and its parent's), text
+amount, sentence ends and link share; a parent-child potential ties neighbours. Messages go up the tree
 and down again (sum-product), which gives the exact marginal of every node; text
 whose node is more likely main text than not is kept. Weights are trained from
 labelled pages by gradient steps on their exact conditional likelihood.
@@ -200,33 +200,43 @@ class Model:
 
     def own(self, forest: Forest) -> np.ndarray:
         score = self.names.get
-        return forest.values @ self.values + self.bias + np.array([score("<" + n[0], 0.0) + sum(score(w, 0.0) for w in n[1:]) for n in forest.names])
+        known: dict[tuple[str, ...], tuple[float, float]] = {}  # by names: what they say of the node and of its children
+        for n in set(forest.names):
+            words = ("<" + n[0], *n[1:])
+            known[n] = sum(score(w, 0.0) for w in words), sum(score("^" + w, 0.0) for w in words)
+        both = np.array([known[n] for n in forest.names])
+        above = np.where(forest.parent >= 0, both[forest.parent, 1], 0.0)
+        return forest.values @ self.values + self.bias + both[:, 0] + above
 
 
-def fit(sources: list[str], rounds: int = 300, rate: float = 0.2, penalty: float = 2e-3) -> Model:
+def fit(sources: list[str], rounds: int = 250, rate: float = 0.2, penalty: float = 5e-4) -> Model:
     """Gradient steps (Adam) on the exact conditional likelihood of the labelled pages."""
     pages = [parse(s) for s in sources]
     forest, label = Forest.of(pages), np.array([m for p in pages for m in p.marks], float)
-    vocabulary = sorted({w for n in forest.names for w in ("<" + n[0], *n[1:])})
-    place = {w: i for i, w in enumerate(vocabulary)}
-    x = np.zeros((len(label), len(vocabulary) + NUMERIC + 1))
-    for i, n in enumerate(forest.names):
-        for w in ("<" + n[0], *n[1:]):
-            x[i, place[w]] = 1
-    x[:, len(vocabulary) : -1], x[:, -1] = forest.values, 1
+    words = [("<" + n[0], *n[1:]) for n in forest.names]
+    found = [(i, w) for i, own in enumerate(words) for w in own]
+    found += [(i, "^" + w) for i, p in enumerate(forest.parent) if p >= 0 for w in words[p]]
+    vocabulary = sorted({w for _, w in found})
+    place = {w: k for k, w in enumerate(vocabulary)}
+    row, column = np.array([i for i, _ in found]), np.array([place[w] for _, w in found])
+    dense = np.hstack([forest.values, np.ones((len(label), 1))])
+    k = len(vocabulary)
     inner = np.flatnonzero(forest.parent >= 0)
     seen = np.zeros((2, 2))
     np.add.at(seen, (label[forest.parent[inner]].astype(int), label[inner].astype(int)), 1)
-    w, tie = np.zeros(x.shape[1]), np.zeros((2, 2))
+    w, tie = np.zeros(k + dense.shape[1]), np.zeros((2, 2))
     state = [(np.zeros_like(v), np.zeros_like(v)) for v in (w, tie)]
     for step in range(1, rounds + 1):
-        p, pairs = sum_product(forest, x @ w, tie)
-        gradients = (x.T @ (label - p) / len(label) - penalty * w / 10, (seen - pairs[inner].sum(axis=0)) / len(label) - penalty * tie)
+        own = np.bincount(row, w[column], len(label)) + dense @ w[k:]
+        p, pairs = sum_product(forest, own, tie)
+        error = label - p
+        slope = np.concatenate([np.bincount(column, error[row], k), dense.T @ error])
+        gradients = (slope / len(label) - penalty * w / 10, (seen - pairs[inner].sum(axis=0)) / len(label) - penalty * tie)
         for value, gradient, (m, v) in zip((w, tie), gradients, state):
             m += 0.1 * (gradient - m)
             v += 0.01 * (gradient**2 - v)
             value += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Model(dict(zip(vocabulary, w.tolist())), w[len(vocabulary) : -1], float(w[-1]), tie)
+    return Model(dict(zip(vocabulary, w.tolist())), w[k:-1], float(w[-1]), tie)
 
 
 @functools.cache

@@ -29,12 +29,16 @@ MAIN = (
 WORDS = "time year people way day man thing woman life child world school state family student group country problem hand part place case week company system program question work".split()
 
 
-def _open(name: str, main: int | None = None) -> tuple[str, str]:
+#: What names are often prefixed with.
+PREFIXES = ("", "", "", "", "user-", "site-", "top-", "global-", "block-", "js-", "my-", "l-")
+
+
+def _open(name: str, main: int | None = None, prefix: str = "") -> tuple[str, str]:
     tag, attrs = name, ""
     for mark, attr in ((".", "class"), ("#", "id")):
         if mark in name:
             tag, value = name.split(mark)
-            attrs = f' {attr}="{value}"'
+            attrs = f' {attr}="{prefix}{value}"'
     return f"<{tag}{attrs}" + (f' data-main="{main}"' if main is not None else "") + ">", f"</{tag}>"
 
 
@@ -51,8 +55,10 @@ def _link(rng: random.Random) -> str:
 
 
 def _aside(rng: random.Random) -> str:
-    start, end = _open(rng.choice(ASIDE), 0)
+    start, end = _open(rng.choice(ASIDE), 0, rng.choice(PREFIXES))
     body = rng.choice((
+        lambda: f"<h3>{rng.choice(WORDS)}</h3>" + "".join(f"<p>{_sentences(rng, rng.randint(1, 6))}</p>" for _ in range(rng.randint(1, 4))),
+        lambda: "<ol>" + "".join(f'<li class="{rng.choice(("comment", "reply", "item", "entry"))}"><p>{_sentences(rng, rng.randint(1, 5))}</p></li>' for _ in range(rng.randint(1, 4))) + "</ol>",
         lambda: "<ul>" + "".join(f"<li>{_link(rng)}</li>" for _ in range(rng.randint(2, 8))) + "</ul>",
         lambda: " ".join(_link(rng) for _ in range(rng.randint(1, 6))),
         lambda: _sentences(rng, rng.randint(1, 3)),
@@ -68,6 +74,7 @@ def _block(rng: random.Random) -> str:
     return rng.choice((
         *(4 * [lambda: f"<p>{_sentences(rng, rng.randint(1, 8))}</p>"]),
         lambda: f"<p>{rng.choice(WORDS).capitalize()}.</p>",
+        lambda: f"<p>{_link(rng)}</p>",
         lambda: f"<p><b>{_sentences(rng, 3)}<br><p>{_sentences(rng, 2)}</p>",
         lambda: f"<p>{_sentences(rng, 1)} {_link(rng)} {_sentences(rng, 1)}</p>",
         lambda: f"<h2>{rng.choice(WORDS)} {rng.choice(WORDS)}</h2>",
@@ -80,13 +87,15 @@ def _block(rng: random.Random) -> str:
     ))()
 
 
-def labelled_pages(n: int = 800, seed: int = 7) -> list[str]:
+def labelled_pages(n: int = 1500, seed: int = 7) -> list[str]:
     rng, pages = random.Random(seed), []
     for _ in range(n):
         aside = lambda most: "".join(_aside(rng) for _ in range(rng.randint(0, most)))
-        start, end = _open(rng.choice(MAIN if rng.random() < 0.6 else ("article", "main")), 1)
+        start, end = _open(rng.choice(rng.choice((MAIN, MAIN, ("article", "main"), ("div", "section", "article")))), 1)
         heading = rng.choice(("", f"<h1>{_sentences(rng, 1)}</h1>"))
-        inside = heading + "".join(_aside(rng) if rng.random() < 0.08 else _block(rng) for _ in range(rng.randint(1, 14)))
+        inside = heading + "".join(_aside(rng) if rng.random() < 0.2 else _block(rng) for _ in range(rng.randint(1, 14)))
+        if rng.random() < 0.25:
+            inside = f"<div>{inside}</div>"
         if rng.random() < 0.15:  # text right under the body
             start, end, inside = "", "", "".join(f'<p data-main="1">{_sentences(rng, rng.randint(1, 6))}</p>' for _ in range(rng.randint(1, 6)))
         outer = rng.choice((("", ""), ("<div>", "</div>"), ('<div class="wrapper">', "</div>"), ('<div id="page">', "</div>"), ('<div class="container">', "</div>")))
