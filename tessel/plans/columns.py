@@ -372,6 +372,8 @@ class Columns:
                     n = F.when(F.size(x.column) == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), y.column.cast("int")))
                     cycle = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(x.column, i % F.size(x.column)))
                     return Val(F.when(n > 0, cycle).otherwise(F.array().cast(x.type)), x.type)
+        if op == "*" and "variant" in (a.kind, b.kind):
+            raise LoweringError("a number repeats text, so the kind of both sides must be known")
         a, b = as_number(a), as_number(b)
         integral = isinstance(a.type, T.IntegralType) and isinstance(b.type, T.IntegralType)
         if op == "-":
@@ -401,6 +403,9 @@ class Columns:
                 raise LoweringError("variants are compared with numbers and strings only")
             if op not in ("==", "!="):
                 return self.ordered_variant(op, a, b)
+            if other.constant is not ...:
+                same = F.coalesce(self.compare("==", *((as_string(x) if other.kind == "string" else as_number(x)) for x in (a, b))).column, F.lit(False))
+                return Val(same if op == "==" else ~same, BOOLEAN)
             a, b = (as_string(x) if other.kind == "string" else as_number(x) for x in (a, b))
         if a.kind == "null" or b.kind == "null":
             other = b if a.kind == "null" else a
@@ -464,10 +469,8 @@ class Columns:
             return self.one(node.right, v, env)
         b = self.one(node.right, v, env)
         if a.kind == "variant":
-            if b.kind == "number":
-                a = as_number(a)
-            elif b.kind == "string":
-                a = as_string(a)
+            other = b.column if b.kind == "variant" else b.to_column().cast("variant")
+            return Val(F.when(truthy(a), a.column).otherwise(other), VARIANT)
         t = common_type([a, b])
         if a.kind == "boolean":
             return Val(F.when(truthy(a), a.column).otherwise(cast(b, t)), t)

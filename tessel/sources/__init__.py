@@ -41,5 +41,6 @@ def parquet_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[s
 def write_json_lines(df: DataFrame, path: str, *, column: str = "value", mode: str = "error") -> None:
     """Outputs as lines of JSON text."""
     c = F.col(column)
-    text = c if df.schema[column].dataType.typeName() == "string" else F.to_json(c)
+    kind = df.schema[column].dataType.typeName()
+    text = c if kind == "string" else F.to_json(c) if kind in ("struct", "array", "map", "variant") else F.to_json(c.cast("variant"))
     df.where(c.isNotNull()).select(text.alias("value")).write.mode(mode).text(path)

@@ -250,3 +250,25 @@ def test_streams(spark, tmp_path):
     assert sorted(r["value"]["y"] for r in spark.sql("select value from tessel_stream").collect()) == [0.0, 2.0, 4.0, 6.0, 8.0]
     with pytest.raises(ValueError):
         run_stream(compile("."), spark.range(1))
+
+
+VARIANTS = [".a", "{x: .a, y: .b}", ".a == 1", ".a != \"x\"", ".a > 1", ".a <= \"x\"", ".a | type", ".a | tostring", ".a // \"d\"", ".a == null", ".a | length", "[.b[]] | length", "select(.a > 1) | .b", ".a | not"]
+
+
+def test_parts_of_unknown_type_are_variants(spark):
+    docs = [{"a": a, "b": b} for a, b in ((1.0, [1.0]), ("x", []), (None, ["q", 2.0]), ([1.0], [None]), (True, [[]]), (2.5, [{}]))]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, j string")
+    wrong = []
+    for program in VARIANTS:
+        p = compile(program)
+        rows = p.run(df, json="j")
+        got: dict = {}
+        for r in rows.selectExpr("i", "ord", "to_json(struct(value)) as v", "value is null as n", "error").orderBy("i", "ord").collect():
+            got.setdefault(r["i"], []).append(None if r["n"] or r["error"] else json.loads(r["v"]).get("value"))
+        if dict(rows.dtypes)["value"] == "string" and p.plan(df, "j") == "interpreter":
+            continue  # exact by definition
+        for i, d in enumerate(docs):
+            expected = [None if isinstance(v, Failure) else v for v in run_program(program, d)]
+            if len(expected) != len(got.get(i, [])) or not all(same(plain(a), plain(b)) for a, b in zip(got.get(i, []), expected)):
+                wrong.append((program, d, got.get(i), expected))
+    assert not wrong, "\n".join(map(str, wrong))
