@@ -61,7 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         with released(spark):
-            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{at}/{i}")
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
         docs = spark.read.parquet(f"{at}/{i}")
         if i:
             delete(spark, f"{at}/{i - 1}")

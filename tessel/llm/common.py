@@ -49,7 +49,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tessel-{label}-{uuid.uuid4().hex}"
     for block in _open_blocks[-1:]:
         block.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
