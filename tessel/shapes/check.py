@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..values import show, type_of
-from .algebra import Arr, Blob, Clash, Neg, Null, Obj, Scalar, Shape, Tup, TVar, Union, arms, parts, render
+from .algebra import Arr, Blob, Both, Clash, Neg, Null, Obj, Scalar, Shape, Tup, TVar, Union, arms, parts, render
 
 _KINDS = {"bool": "boolean", "number": "number", "string": "string"}
 
@@ -51,6 +51,8 @@ def _fails(shape: Shape, v: Any, path: str) -> Mismatch | None:
         case Union():
             found = [_fails(arm, v, path) for arm in arms(shape)]
             return None if None in found else Mismatch(found[0].path, render(shape, False), found[0].got)
+        case Both(a, b):
+            return _fails(a, v, path) or _fails(b, v, path)
         case Neg(body):
             return miss if _fails(body, v, path) is None else None
     return miss
@@ -133,6 +135,8 @@ def _tested(shape: Shape, v: Column, path: Column) -> Column:
             for f in found:
                 good = good | f.isNull()
             return F.when(good, none).otherwise(F.struct(found[0]["path"].alias("path"), F.lit(render(shape, False)).alias("expected"), found[0]["got"].alias("got")))
+        case Both(a, b):
+            return F.coalesce(_column(a, v, path), _column(b, v, path))
         case Neg(body):
             return F.when(_column(body, v, path).isNull(), miss).otherwise(none)
     return miss

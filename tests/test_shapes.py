@@ -1,3 +1,6 @@
+from itertools import product
+from random import Random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -6,6 +9,7 @@ from tessel import compile
 from tessel.shapes import ConstraintInference, DirectInference, check
 from tessel.shapes.algebra import BOOL, NULL, NUMBER, STRING, Arr, Neg, Obj, Scalar, Tup, Union, canonical, disjoint, literal, subtype, to_ddl
 from tessel.shapes.check import _fails
+from tessel.shapes.constraint import Contradiction, OneOf
 from tessel.values import from_json
 
 DIRECT = [
@@ -66,6 +70,49 @@ def test_constraint_solver_reports_what_cannot_hold():
     ConstraintInference().infer("def f: .a | f; f")
 
 
+def _every_combination(program):
+    """The input's shape under each combination of all alternatives."""
+    inference = ConstraintInference()
+    found, start, _ = inference.constraints(program)
+    states = [inference.solve([c for c in found if not isinstance(c, OneOf)], [start])[0]]
+    for c in (c for c in found if isinstance(c, OneOf)):
+        after = []
+        for state, branch in product(states, c.branches):
+            own = state.copy()
+            try:
+                for f in branch:
+                    own.take(f)
+            except Contradiction:
+                continue
+            after.append(own)
+        states = after or states
+    return [s.resolved(start) for s in states]
+
+
+@pytest.mark.parametrize("program", ["(.a + .b), (.c + .d), (.e + .f), (.g + .h)", "(.a + .b), (.a + .c), (.d + .e)", ".a + .b + .c + .d", '.a + " " + .b + " " + .c, (.d + 1)', "(.a.b + .c), (.a.d + .e), (.f + .g)", "[.a + .b, .c * .d], (.a - .e)"])
+def test_constraint_choices_equal_all_combinations(program):
+    shape, every, random = ConstraintInference().infer(program)[0], _every_combination(program), Random(7)
+    leaf = lambda: random.choice([None, 1.0, "x", "x", 1.0, True])
+    fitting = 0
+    for _ in range(1500):
+        kinds = [random.choice([None, 1.0, "x"]) for _ in range(4)]
+        v = {k: leaf() if random.random() < 0.15 else kinds[i // 2] for i, k in enumerate("abcdefgh")}
+        if ".a." in program:
+            v["a"] = {"b": v["c"], "d": leaf()}
+        expected = any(check(e, v) is None for e in every)
+        assert (check(shape, v) is None) == expected, v
+        fitting += expected
+    assert 0 < fitting < 1500
+
+
+def test_constraint_keeps_the_alternatives_of_five_additions():
+    shape, outputs = ConstraintInference().infer("(.a + .b), (.c + .d), (.e + .f), (.g + .h), (.i + .j)")
+    assert check(shape, dict.fromkeys("abcdefghij", "x")) is None and check(shape, dict.fromkeys("abcdefghij", 1.0)) is None
+    assert check(shape, dict.fromkeys("abcdefghij", "x") | {"b": 1.0}) is not None
+    assert [str(o) for o in outputs] == ["(<number> | <string>)"] * 5
+    assert str(ConstraintInference().infer(", ".join(f"(.{k} + 1)" for k in "abcdefg"))[0]) == "{" + ", ".join(f"{k}: (<number> | <null>)" for k in "abcdefg") + "}"
+
+
 def test_results_do_not_depend_on_the_run():
     texts = {str(ConstraintInference().infer(".a + .b * 2")) for _ in range(5)}
     assert len(texts) == 1
