@@ -3,7 +3,8 @@
 Every line is good or bad. Its score comes from its own features and those of
 the lines before and after; transitions favour runs of one label. The marginals
 of forward-backward, weighted by line length, give the document's quality.
-Lines take their document's label in training, on a bounded sample.
+Lines take their document's label in training, on all lines of a bounded sample
+of documents.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 from .common import text_of
 from .learning import held_out, training_labels
 
-#: Labelled documents to learn from, and lines of one of them that the fit looks at (scoring reads all lines).
+#: Labelled documents to learn from; the fit looks at all their lines.
 TRAIN_DOCS = 6000
-TRAIN_LINES = 200
+#: Lines, padding included, that the fit handles at once (or one document).
+CHUNK_LINES = 1 << 18
 ACCEPT = 0.3
 
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -128,11 +130,15 @@ def fit(documents: list[np.ndarray], good: np.ndarray, rounds: int = 120, rate:
     every = np.vstack(documents)
     mean, scale = every.mean(axis=0), every.std(axis=0) + 1e-3
     order = np.argsort([len(d) for d in documents], kind="stable")
-    chunks = []
-    for at in range(0, len(order), 512):
-        part = order[at : at + 512]
-        x, lengths = padded([with_neighbours((documents[i] - mean) / scale) for i in part])
+    chunks, at = [], 0
+    while at < len(order):
+        shortest, end = len(documents[order[at]]), at + 1
+        while end < len(order) and end - at < 512 and (n := len(documents[order[end]])) <= 1.3 * shortest + 64 and n * (end - at + 1) <= CHUNK_LINES:
+            end += 1
+        part = order[at:end]
+        x, lengths = padded([(documents[i] - mean) / scale for i in part])
         chunks.append((x, lengths, good[part].astype(float)))
+        at = end
     share = max(1e-6, min(1 - 1e-6, float(good.mean())))
     emit, move = np.zeros(3 * N_OWN + 1), np.zeros((2, 2))
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (emit, move)]
@@ -140,10 +146,16 @@ def fit(documents: list[np.ndarray], good: np.ndarray, rounds: int = 120, rate:
         g_emit, g_move, lines = -penalty * emit, -penalty * move, 0
         for x, lengths, label in chunks:
             weight = np.where(label > 0, 0.5 / share, 0.5 / (1 - share)) / np.sqrt(lengths)
-            p, pairs, _ = marginals(x @ emit, lengths, move)
+            # Neighbours are read from the lines themselves, which lie in memory once.
+            own, before, after = (x @ emit[k * N_OWN : (k + 1) * N_OWN] for k in range(3))
+            emissions = own + emit[-1]
+            emissions[:, 1:] += before[:, :-1]
+            emissions[:, :-1] += after[:, 1:]
+            p, pairs, _ = marginals(emissions, lengths, move)
             inside = np.arange(x.shape[1])[None, :] < lengths[:, None]
             error = (label[:, None] - p) * inside * weight[:, None]
-            g_emit = g_emit + np.einsum("cl,clf->f", error, x) / len(documents)
+            parts = [np.tensordot(e, v, 2) for e, v in ((error, x), (error[:, 1:], x[:, :-1]), (error[:, :-1], x[:, 1:]))]
+            g_emit = g_emit + np.concatenate([*parts, [error.sum()]]) / len(documents)
             seen = np.zeros((len(label), 2, 2))
             seen[np.arange(len(label)), label.astype(int), label.astype(int)] = lengths - 1
             g_move = g_move + ((seen - pairs) * weight[:, None, None]).sum(axis=0) / len(documents)
@@ -177,8 +189,8 @@ def quality(texts: list[bytes], model: Crf) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = [features(lines_of(t)[:TRAIN_LINES]).ravel().tolist() for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), batch.column(1)], names=["x", "good"])
+        values = [features(lines_of(t)).tobytes() for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary()), batch.column(1)], names=["x", "good"])
 
 
 def trained(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> Crf:
@@ -189,13 +201,13 @@ def trained(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     """
     chosen = training_labels(labels, id_col, [label_col], train_docs).select(F.col(id_col).alias("_chosen"), F.col(label_col).cast("int").alias("_good"))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(F.col(f"`{text_col}`")).cast("binary").alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_chosen")).select("_text", "_good")
-    found = sorted((r["good"], r["x"]) for r in rows.mapInArrow(_features, "x array<double>, good int").limit(2 * train_docs).collect())
+    found = sorted((r["good"], bytes(r["x"])) for r in rows.mapInArrow(_features, "x binary, good int").limit(2 * train_docs).collect())
     good = np.array([g for g, _ in found], float)
     if len(set(good.tolist())) < 2:
         emit = np.zeros(3 * N_OWN + 1)
         emit[-1] = math.log((good.sum() + 1) / (len(good) - good.sum() + 1))
         return Crf(np.zeros(N_OWN), np.ones(N_OWN), emit, np.zeros((2, 2)))
-    return fit([np.array(x).reshape(-1, N_OWN) for _, x in found], good)
+    return fit([np.frombuffer(x).reshape(-1, N_OWN) for _, x in found], good)
 
 
 def _score(model: Crf) -> Callable:

@@ -71,6 +71,17 @@ def test_quality_on_held_out_documents(data, odd):
     assert Q.scored(odd.limit(0), model).count() == 0
 
 
+def test_quality_learns_from_all_lines(spark):
+    clean, junk = "The river was calm, and the old boats lay still.\n", "$$ || BUY || 99 !! ##\n"
+    texts = [clean * (300 + i) if i % 2 else clean * 250 + junk * (250 + i) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    model = Q.trained(docs, labels)
+    # The first 200 lines of both kinds are alike; only what follows tells them apart.
+    junk_score, clean_score = Q.quality([(junk * 50).encode(), (clean * 50).encode()], model)
+    assert junk_score < 0.2 < 0.6 < clean_score
+
+
 def test_quality_without_labels(spark, odd):
     empty = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     model = Q.trained(odd, empty)
