@@ -113,6 +113,23 @@ def test_constraint_keeps_the_alternatives_of_five_additions():
     assert str(ConstraintInference().infer(", ".join(f"(.{k} + 1)" for k in "abcdefg"))[0]) == "{" + ", ".join(f"{k}: (<number> | <null>)" for k in "abcdefg") + "}"
 
 
+@pytest.mark.parametrize("method", ["direct", "constraint"])
+def test_only_recursion_is_cut(method):
+    chain = " ".join(["def f0: .a - 1;", *(f"def f{i}: f{i - 1};" for i in range(1, 12))]) + " f11"
+    nested = "def f(g): g | . - 1; " + "f(" * 12 + ".a" + ")" * 12
+    for program in (chain, nested):
+        i, o = compile(program).infer(method)
+        assert (str(i), [str(x) for x in o]) == ("{a: <number>}", ["<number>"])
+    # Recursion still ends, also where a definition is called in its own argument.
+    compile("def f(x): if x > 100 then x - 10 else f(f(x + 11)) end; f(.a)").infer(method)
+    compile("def ev: def od: if . == 0 then false else (. - 1 | ev) end; if . == 0 then true else (. - 1 | od) end; .a | ev").infer(method)
+
+
+def test_check_reaches_a_chain_of_definitions():
+    chain = " ".join(["def f0: .a - 1;", *(f"def f{i}: f{i - 1};" for i in range(1, 9))]) + " f8"
+    assert compile(chain).check_value({"a": "x"}).path == ".a"
+
+
 def test_results_do_not_depend_on_the_run():
     texts = {str(ConstraintInference().infer(".a + .b * 2")) for _ in range(5)}
     assert len(texts) == 1
