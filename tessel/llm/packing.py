@@ -5,7 +5,8 @@ all pieces but the first are full. Pieces are dealt at random into groups of a
 bounded number, and each group is packed on its own: a bin is filled greedily
 with the longest piece that fits; if a gap is left, the bin's smallest piece is
 exchanged for the two unpacked pieces that fill the widened gap most tightly.
-A group of thousands of pieces loses about one bin against packing all at once.
+Pieces of the emptiest bins of all groups are then dealt and packed together
+again, in at most half as many groups, until there is one group.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -127,19 +129,32 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     return rows.mapInArrow(run, f"_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else ""))
 
 
-def _pack_group(capacity: int) -> Callable:
+def _pack_group(capacity: int, first: int, again: int) -> Callable:
+    """Groups are numbered from first on; bins with a gap are open, emptiest first and up to so many pieces again."""
+
     def run(table: pa.Table) -> pa.Table:
         # Whatever order the rows arrive in, a group is packed alike.
         table = table.sort_by([("_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("length", "ascending")])
         lengths = table.column("length").to_pylist()
-        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        base = table.column("_group")[0].as_py() << 32
+        sequence, offset, open_ = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
+        base = (first + table.column("_group")[0].as_py()) << 32
+        gaps = []
         for number, members in enumerate(best_two_fit(lengths, capacity)):
             at = 0
             for i in members:
                 sequence[i], offset[i] = base + number, at
                 at += lengths[i]
-        return table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).drop_columns(["_group"])
+            if at < capacity:
+                gaps.append((at, number, members))
+        left = again
+        for _, _, members in sorted(gaps):
+            left -= len(members)
+            if left < 0:
+                break
+            open_[members] = True
+        for name, values in (("sequence_id", sequence), ("offset", offset), ("_open", open_)):
+            table = table.append_column(name, pa.array(values))
+        return table.drop_columns(["_group"])
 
     return run
 
@@ -151,13 +166,30 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", capacity: int = CAPACITY, g
     a null id is kept as null; repeated rows are packed once each; an empty table
     gives an empty result; other columns are ignored.
     """
-    all_pieces = stored(pieces(docs, id_col=id_col, capacity=capacity, **options), "pack-pieces")
-    groups = max(1, -(-all_pieces.count() // group_pieces))
-    # The crc spreads copies of one row's id; equal pieces may share a group, which only bounds its balance.
-    group = F.pmod(F.xxhash64("_id", "piece", "start", "length", "ids_crc32"), F.lit(groups))
-    kind = dict(all_pieces.dtypes)["_id"]
-    placed = all_pieces.withColumn("_group", group).groupBy("_group").applyInArrow(_pack_group(capacity), f"_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
-    return placed.withColumnRenamed("_id", id_col)
+    left = stored(pieces(docs, id_col=id_col, capacity=capacity, **options), "pack-pieces")
+    kind, keys = dict(left.dtypes)["_id"], ["_id", "piece", "start", "length", "ids_crc32"]
+    columns = f"_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
+    groups, first, bins, done = max(1, -(-left.count() // group_pieces)), 0, None, []
+    opened = F.when(F.col("_open"), F.col("sequence_id"))
+    counts = [F.countDistinct("sequence_id").alias("bins"), F.countDistinct(opened).alias("open_bins"), F.count(opened).alias("pieces")]
+    while True:
+        # The crc spreads copies of one row's id; equal pieces may share a group, which only bounds its balance.
+        group = F.pmod(F.xxhash64(*keys, *([F.lit(first)] if first else [])), F.lit(groups))
+        run = _pack_group(capacity, first, group_pieces // 2 if groups > 1 else 0)
+        placed = left.select(*keys).withColumn("_group", group).groupBy("_group").applyInArrow(run, f"{columns}, _open boolean")
+        if not first and groups == 1:
+            return placed.drop("_open").withColumnRenamed("_id", id_col)
+        placed = stored(placed, "pack-placed")
+        found = placed.agg(*counts).first()
+        if bins is not None and found["bins"] >= bins:  # nothing won: the bins of before stay
+            done.append(left)
+            break
+        done.append(placed.where("NOT _open"))
+        if not found["pieces"]:
+            break
+        left, bins = placed.where("_open"), found["open_bins"]
+        first, groups = first + groups, -(-found["pieces"] // group_pieces)
+    return reduce(DataFrame.unionByName, done).drop("_open").withColumnRenamed("_id", id_col)
 
 
 def sequences(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

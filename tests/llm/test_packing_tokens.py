@@ -63,6 +63,26 @@ def test_near_the_bound():
     assert len(P.best_two_fit(lengths)) <= -(-sum(lengths) // 2048) + 2
 
 
+def test_groups_lose_no_sequences(spark, monkeypatch):
+    rng = random.Random(4)
+    lengths = [rng.randint(1, 60) for _ in range(1500)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "_id bigint, length bigint").selectExpr("_id", "0 piece", "0L start", "length", "_id ids_crc32")
+    monkeypatch.setattr(P, "pieces", lambda docs, **_: docs)
+    out = P.pack(df, id_col="_id", capacity=100, group_pieces=100).collect()
+    bins = {}
+    for r in out:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(r["_id"] for r in out) == list(range(1500)) and all(r["length"] == lengths[r["_id"]] for r in out)
+    for members in bins.values():
+        ends = [0]
+        for offset, n in sorted(members):
+            assert offset == ends[-1]
+            ends.append(offset + n)
+        assert ends[-1] <= 100
+    # Fifteen groups on their own would end with about a bin too many each.
+    assert len(bins) <= len(P.best_two_fit(lengths, 100)) + 2
+
+
 def test_pack(spark, exact):
     texts = [*ODD, None, "word " * 5000, "x y z", "x y z"]
     rows = [(i if i != 3 else None, t, 7) for i, t in enumerate(texts)] + [(5, texts[5], 7)]
