@@ -108,6 +108,10 @@ PROGRAMS: dict[str, tuple[str, str]] = {
         'documents[] | {i: .doc_id, s: (.text | split(" ") | .[:5] | join("-"))}',
         "SELECT doc_id AS i, array_to_string(string_split(text, ' ')[1:5], '-') AS s FROM documents",
     ),
+    "str_split_join_whole": (
+        'documents[] | {i: .doc_id, s: (.text | split(" ") | join("-"))}',
+        "SELECT doc_id AS i, array_to_string(string_split(text, ' '), '-') AS s FROM documents",
+    ),
     "str_tests": (
         'documents[] | {i: .doc_id, a: (.text | startswith("The")), b: (.text | endswith(".")), c: (.text | test("[0-9]{3}")), d: (.text | contains("license")), e: (.text | test("LICENSE"; "i"))}',
         "SELECT doc_id AS i, starts_with(text, 'The') AS a, ends_with(text, '.') AS b, regexp_matches(text, '[0-9]{3}') AS c, contains(text, 'license') AS d, regexp_matches(text, 'LICENSE', 'i') AS e FROM documents",
@@ -134,6 +138,7 @@ PROGRAMS: dict[str, tuple[str, str]] = {
         "SELECT r_regionkey AS r, unnest(['k', 'n']) AS key, r_regionkey AS v FROM region",
     ),
     "vec_entries": ("embeddings[] | .vec_id as $i | .embedding[:3] | to_entries[] | {i: $i, k: .key, v: .value}", "SELECT vec_id AS i, unnest([0, 1, 2])::INT AS k, unnest(embedding[1:3]) AS v FROM embeddings"),
+    "vec_entries_whole": ("embeddings[] | .vec_id as $i | .embedding | to_entries[] | {i: $i, k: .key, v: .value}", "SELECT vec_id AS i, unnest(range(len(embedding)))::INT AS k, unnest(embedding) AS v FROM embeddings"),
     "pow_floor": (
         "part[] | {k: .p_partkey, a: (.p_size | pow(.; 2) | floor), b: (.p_retailprice | sqrt | floor), c: (.p_retailprice | round), d: (-.p_retailprice | trunc), e: (.p_retailprice | ceil), f: (.p_size / 7 | floor)}",
         "SELECT p_partkey AS k, floor(pow(p_size, 2)) AS a, floor(sqrt(p_retailprice)) AS b, round(p_retailprice) AS c, trunc(-p_retailprice) AS d, ceil(p_retailprice) AS e, floor(p_size / 7) AS f FROM part",
@@ -175,6 +180,12 @@ def collatz_until(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compile(COLLATZ).run(orders, keys=["o_orderkey"]).select("o_orderkey", F.col("value").cast("double").alias("steps"))
 
 
+def collatz_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from each key plus 1 (keys start at 0, which never comes to 1), so that every row has an input of its own."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    return compile(COLLATZ.replace(" % 30", "")).run(orders, keys=["o_orderkey"]).select("o_orderkey", F.col("value").cast("double").alias("steps"))
+
+
 def neighbor_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences between neighbours of an array, with indexes from a range."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
@@ -235,6 +246,12 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
            UNION ALL SELECT o_orderkey, CASE WHEN x % 2 = 0 THEN x // 2 ELSE 3 * x + 1 END, n + 1 FROM c WHERE x <> 1)
            SELECT o_orderkey, n::DOUBLE AS steps FROM c WHERE x = 1""",
     ),
+    "collatz_keys": (
+        collatz_keys,
+        """WITH RECURSIVE c AS (SELECT o_orderkey, (o_orderkey + 1)::BIGINT AS x, 0 AS n FROM orders
+           UNION ALL SELECT o_orderkey, CASE WHEN x % 2 = 0 THEN x // 2 ELSE 3 * x + 1 END, n + 1 FROM c WHERE x <> 1)
+           SELECT o_orderkey, n::DOUBLE AS steps FROM c WHERE x = 1""",
+    ),
     "neighbor_diff": (
         neighbor_diff,
         "SELECT vec_id, i::INT AS ord, embedding[i + 2]::DOUBLE - embedding[i + 1]::DOUBLE AS diff FROM (SELECT vec_id, embedding, unnest(range(len(embedding) - 1)) AS i FROM embeddings)",

@@ -41,3 +41,22 @@ def test_queries_match_their_sql(spark):
         if got != sorted(tuple(shown(v) for v in r) for r in cursor.fetchall()):
             wrong.append(name)
     assert not wrong
+
+
+def test_whole_values_against_python(spark):
+    from tessel.queries import QUERIES
+
+    read = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet").collect()
+    joined = {r["i"]: r["s"] for r in QUERIES["str_split_join_whole"](spark, DATA).collect()}
+    assert joined == {r["doc_id"]: r["text"].replace(" ", "-") for r in read("documents")}
+    entries = sorted((r["i"], r["k"], r["v"]) for r in QUERIES["vec_entries_whole"](spark, DATA).collect())
+    assert entries == sorted((r["vec_id"], k, v) for r in read("embeddings") for k, v in enumerate(r["embedding"]))
+
+    def steps(x):
+        n = 0
+        while x != 1:
+            x, n = (x // 2 if x % 2 == 0 else 3 * x + 1), n + 1
+        return n
+
+    found = {r["o_orderkey"]: r["steps"] for r in QUERIES["collatz_keys"](spark, DATA).collect()}
+    assert found == {r["o_orderkey"]: steps(r["o_orderkey"] + 1) for r in read("orders")}
