@@ -23,26 +23,36 @@ def vocabulary(name: str) -> str:
 
 
 @functools.cache
-def _unstable() -> re.Pattern:
-    """Characters that two Unicode versions could class differently (letter, number, space, other).
+def _stable(c: str) -> bool:
+    """Whether all Unicode versions class a character alike (letter, number, space, other).
 
-    Safe are letters and numbers that have been so since Unicode 3.2, assigned
+    Stable are letters and numbers that have been so since Unicode 3.2, assigned
     characters that are neither, and the six ASCII spaces, no-break and
-    ideographic space; everything from plane 2 on counts as unsafe.
+    ideographic space; everything from plane 2 on counts as unstable.
     """
-    old, runs = unicodedata.ucd_3_2_0, []
-    for code in range(0x20000):
-        c = chr(code)
-        now = unicodedata.category(c)
-        plain = now[0] in "LN"
-        safe = c in " \t\n\x0b\x0c\r\xa0　" or (old.category(c)[0] == now[0] if plain else now[0] in "PSM" or c < "\x1c")
-        if not safe:
+    if c >= "\U00020000":
+        return False
+    now = unicodedata.category(c)
+    if now[0] in "LN":
+        return unicodedata.ucd_3_2_0.category(c)[0] == now[0]
+    return c in " \t\n\x0b\x0c\r\xa0\u3000" or now[0] in "PSM" or c < "\x1c"
+
+
+#: Characters beyond the basic plane. A class that holds some is compiled to a list of ranges, which is slow to search.
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+@functools.cache
+def _unstable() -> re.Pattern:
+    """The unstable characters of the basic plane, as a class that is looked up in constant time."""
+    runs: list[list[int]] = []
+    for code in range(0x10000):
+        if not _stable.__wrapped__(chr(code)):
             if runs and runs[-1][1] == code - 1:
                 runs[-1][1] = code
             else:
                 runs.append([code, code])
-    runs.append([0x20000, 0x10FFFF])
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
+    return re.compile("[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs) + "]")
 
 
 class Ids:
@@ -68,7 +78,11 @@ class Ids:
             self.plainest = tiktoken.Encoding("plain ranks", pat_str=pattern.replace(_LOOKAHEAD, ""), mergeable_ranks=ranks, special_tokens={})
 
     def is_plain(self, text: str) -> bool:
-        return SPECIAL not in text and (_unstable().search(text) is None if not text.isascii() or any(c in text for c in "\x1c\x1d\x1e\x1f\x7f") else True)
+        if SPECIAL in text:
+            return False
+        if text.isascii():
+            return not any(c in text for c in "\x1c\x1d\x1e\x1f\x7f")
+        return _unstable().search(text) is None and all(map(_stable, set(_BEYOND.findall(text))))
 
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is not None and self.is_plain(text):
