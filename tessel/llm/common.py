@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are maximal runs of anything but these six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -80,6 +81,40 @@ def released(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def id_type(docs: DataFrame, id_col: str) -> str:
+    """string or bigint; identifiers of other types would lose their identity in a cast, so they are refused."""
+    kind = docs.schema[id_col].dataType
+    if isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
+        return "string"
+    if isinstance(kind, T.IntegralType):
+        return "bigint"
+    raise TypeError(f"identifiers are strings or integers, not {kind.simpleString()}")
+
+
+#: Rows up to which a table of a few fixed-width columns (at most 64 bytes a row, so 32 MB) is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a table of fixed-width columns may be broadcast, by counting it."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def matched(left: DataFrame, right: DataFrame, key: str, row: str, small: bool | None = None) -> DataFrame:
+    """left joined to right, whose key is unique, where one key may hold a large share of left.
+
+    A small right side is broadcast; small says whether it is, None to find out by
+    counting (for fixed widths only). Otherwise a key's rows are dealt over as many parts as there are shuffle partitions; right's row comes
+    to each part that occurs, so no task gets all rows of a key.
+    """
+    if is_small(right) if small is None else small:
+        return left.join(F.broadcast(right), key)
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.withColumn("_part_", F.pmod(F.xxhash64(row), F.lit(parts)))
+    found = dealt.select(key, "_part_").distinct().join(right, key)
+    return dealt.join(found, [key, "_part_"]).drop("_part_")
+
+
 def text_of(column: Column | str) -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -27,10 +27,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import id_type, is_small, matched, stored, text_of
 from .components import components
 
 WORDS = 5
@@ -42,8 +42,6 @@ SLACK = 4.5
 BLOCK = 512
 #: Partners of one hub that a task verifies before the hub's set is sent to another task as well.
 HUB_PARTNERS = 1024
-#: Rows up to which a list of wanted identifiers is broadcast; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 500_000
 _WORD_CACHE = 400_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -136,53 +134,59 @@ def estimates(one: np.ndarray, many: np.ndarray, n_one: int, n_many: np.ndarray)
     return np.clip((matches / based_on - chance) / (1 - chance), 0, 1), based_on
 
 
-def _sketches(id_type: pa.DataType, words: int) -> Callable:
+def _sketches(words: int) -> Callable:
+    """Rows (_id, _text, maybe _rest) with a number of their own, their set's size and digest, registers and bands."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         known, row = WordHashes(), TaskContext.get().partitionId() << 36
+        names = ["_row", "_n", "_digest", "_regs", "_bands"]
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for start in range(0, len(batch), 2048):
+            for start in range(0, len(batch), 1024):
+                own = batch.slice(start, 1024)
                 out: list[tuple] = []
-                for text in texts.slice(start, 2048):
+                for text in own.column(1):
                     h = shingles(text.as_py(), known, words)
-                    out.append((row, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), *((regs.tobytes(), band_keys(regs).tolist()) if len(h) and (regs := registers(h)) is not None else (None, None))))
+                    regs = registers(h) if len(h) else None
+                    sketch = (None, None) if regs is None else (regs.tobytes(), band_keys(regs).tolist())
+                    out.append((row, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), *sketch))
                     row += 1
-                columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays([ids.slice(start, 2048).cast(id_type), *columns], names=["_id", "_row", "_n", "_digest", "_regs", "_bands"])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+                columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays([*own.columns, *columns], names=[*own.schema.names, *names])
 
     return run
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str, id_type: str) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").cast(id_type).alias("_id"), text_of(F.col(f"`{text_col}`")).cast("binary").alias("_text"))
+def _limited(df: DataFrame) -> DataFrame:
+    """df of fixed-width columns to join with: broadcast where a count shows that it is small, else left to a shuffle join."""
+    return F.broadcast(df) if is_small(df) else df
 
 
-def _limited(df: DataFrame) -> DataFrame:
-    """df to join with: broadcast where a count shows that it is small, else left to a shuffle join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+_SETS = "_key bigint, _part bigint, _role int, _node bigint, _set binary"
 
 
 def _sets(words: int) -> Callable:
-    """(digest, node, key, part, hub) and text in; the same with the full set out, for rows whose digest agrees."""
+    """(text, node, key, part, role) in; the same with the full set out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             for start in range(0, len(batch), 1024):
-                piece = batch.slice(start, 1024)
-                rows = []
-                for text, digest, node, key, part, role in zip(*(c.to_pylist() for c in piece.columns)):
-                    raw = shingles(text, known, words).tobytes()
-                    if hashlib.blake2b(raw, digest_size=16).digest() == digest:
-                        rows.append((key, part, role, node, raw))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["_key", "_part", "_role", "_node", "_set"])
+                text, node, key, part, role = batch.slice(start, 1024).columns
+                raw = pa.array([shingles(t.as_py(), known, words).tobytes() for t in text], pa.binary())
+                yield pa.RecordBatch.from_arrays([key, part, role, node, raw], names=["_key", "_part", "_role", "_node", "_set"])
 
     return run
 
 
+def _with_sets(wanted: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """Full sets of the wanted rows (_row, _key, _part, _role), from the texts stored beside the sketches."""
+    texts = rows.select("_row", "_text").join(_limited(wanted), "_row")
+    return texts.select("_text", F.col("_row").alias("_node"), "_key", "_part", "_role").mapInArrow(_sets(words), _SETS)
+
+
 def _intersect(percent: int) -> Callable:
     """Rows sorted by (key, part, role): the hub's set comes first, its partners stream past it."""
 
@@ -204,15 +208,15 @@ def _intersect(percent: int) -> Callable:
     return run
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, source: DataFrame, percent: int, words: int) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, percent: int, words: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose full sets reach the threshold."""
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(HUB_PARTNERS)).cast("long").alias("_parts"))
-    dealt = pairs.join(parts, "b")
-    members = dealt.select(F.col("a").alias("_row"), F.col("b").alias("_key"), F.pmod(F.xxhash64("a"), F.col("_parts")).alias("_part"), F.lit(1).alias("_role"))
-    hubs = parts.select(F.col("b").alias("_row"), F.col("b").alias("_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"), F.lit(0).alias("_role"))
-    wanted = stored(members.union(hubs).join(rows.select("_row", F.col("_id").alias("_wanted"), "_digest"), "_row"), "near-wanted")
-    texts = source.join(_limited(wanted), F.col("_id").eqNullSafe(F.col("_wanted"))).select("_text", "_digest", F.col("_row").alias("_node"), "_key", "_part", "_role")
-    sets = texts.mapInArrow(_sets(words), "_key bigint, _part bigint, _role int, _node bigint, _set binary")
+    parts = stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(HUB_PARTNERS)).cast("long").alias("_parts")), "near-hubs")
+    role = lambda n: F.lit(n).cast("int").alias("_role")
+    own_part = F.pmod(F.xxhash64("a"), F.col("_parts")).alias("_part")
+    members = matched(pairs, parts, "b", "a").select(F.col("a").alias("_row"), F.col("b").alias("_key"), own_part, role(1))
+    every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part")
+    hubs = parts.select(F.col("b").alias("_row"), F.col("b").alias("_key"), every_part, role(0))
+    sets = _with_sets(stored(members.union(hubs), "near-wanted"), rows, words)
     together = sets.repartition("_key", "_part").sortWithinPartitions("_key", "_part", "_role", "_node")
     return stored(together.mapInArrow(_intersect(percent), "a bigint, b bigint").distinct(), "near-links")
 
@@ -297,7 +301,7 @@ def _group_links(percent: int) -> Callable:
     return run
 
 
-def _late_links(multi: DataFrame, tops: DataFrame, comps: DataFrame, rows: DataFrame, source: DataFrame, percent: int, words: int) -> DataFrame:
+def _late_links(multi: DataFrame, tops: DataFrame, comps: DataFrame, rows: DataFrame, percent: int, words: int) -> DataFrame:
     """Verified links between components inside a bucket, compared in blocks of members.
 
     Per bucket, members of the top's component (side 1) meet only the others
@@ -326,33 +330,26 @@ def _late_links(multi: DataFrame, tops: DataFrame, comps: DataFrame, rows: DataF
     order = ["_bucket", "_key", "_s", "_row", "_comp", "_n", "_bands", "_regs"]
     dealt = lambda df, *more: df.select(*order, *more).repartition("_bucket", "_key").sortWithinPartitions("_bucket", "_key", "_row")
     promising = stored(dealt(keyed.join(sketches, "_row")).mapInArrow(_promising(percent), "_bucket bigint, _key string, _s bigint, _row bigint, _comp bigint"), "near-promising")
-    nodes = promising.select("_row").distinct()
-    wanted = stored(nodes.join(rows.select("_row", F.col("_id").alias("_wanted"), "_digest"), "_row"), "near-wanted")
     zero = F.lit(0).cast("long")
-    texts = source.join(_limited(wanted), F.col("_id").eqNullSafe(F.col("_wanted"))).select("_text", "_digest", F.col("_row").alias("_node"), zero.alias("_key"), zero.alias("_part"), F.lit(0).alias("_role"))
-    sets = texts.mapInArrow(_sets(words), "_key bigint, _part bigint, _role int, _node bigint, _set binary").select(F.col("_node").alias("_row"), "_set")
+    wanted = promising.select("_row").distinct().select("_row", zero.alias("_key"), zero.alias("_part"), F.lit(0).alias("_role"))
+    sets = _with_sets(stored(wanted, "near-wanted"), rows, words).select(F.col("_node").alias("_row"), "_set")
     return stored(dealt(promising.join(sketches, "_row").join(sets, "_row"), "_set").mapInArrow(_group_links(percent), "a bigint, b bigint").distinct(), "near-late")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """One row per document: the id, n_shingles, component_id and kept.
-
-    Documents whose shingle sets have 100 * intersection >= percent * union are
-    linked; component_id is the smallest id that links reach, kept tells that it
-    is the document's own.
+def _decided(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int, rest: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The documents as stored rows, and for each (_row, _id, _n, _component, _stays).
 
-    Defined cases: a null or empty text, or one without words, has no shingles
-    and is linked with nothing; a null id never names a component unless all of
-    its members have none; repeated rows each give a row and share a component
-    through their equal sets; an empty table gives an empty result; other
-    columns are ignored.
+    _component is the smallest identifier of the row's component; _stays marks
+    one row of each component (of several with that identifier, the first).
     """
-    id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "bigint"
-    source = _source(docs, id_col, text_col, id_type)
-    arrow = pa.string() if id_type == "string" else pa.int64()
-    rows = stored(source.mapInArrow(_sketches(arrow, words), f"_id {id_type}, _row bigint, _n bigint, _digest binary, _regs binary, _bands array<bigint>"), "near-sketches")
+    kind = id_type(docs, id_col)
+    more = [] if rest is None else [rest.alias("_rest")]
+    source = docs.select(F.col(f"`{id_col}`").cast(kind).alias("_id"), text_of(F.col(f"`{text_col}`")).cast("binary").alias("_text"), *more)
+    given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields)
+    rows = stored(source.mapInArrow(_sketches(words), f"{given}, _row bigint, _n bigint, _digest binary, _regs binary, _bands array<bigint>"), "near-sketches")
     full = rows.where("_n > 0")
-    classes = stored(full.groupBy("_digest").agg(F.min("_row").alias("_node"), F.min("_id").alias("_least")), "near-classes")
+    first = F.struct(F.col("_id").isNull().alias("unnamed"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    classes = stored(full.groupBy("_digest").agg(F.min("_row").alias("_node"), F.min(first).alias("_first")), "near-classes")
     nodes = full.select("_row", "_bands").join(classes.select(F.col("_node").alias("_row")), "_row", "left_semi")
     bands = nodes.select("_row", F.explode("_bands").alias("_bucket"))
     shared = bands.groupBy("_bucket").agg(F.count("*").alias("_count")).where("_count > 1")
@@ -361,24 +358,50 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ranked = multi.join(scores, "_row").select("_bucket", "_row", F.struct("_score", (-F.col("_row")).alias("_minus")).alias("_rank"))
     tops = stored(ranked.groupBy("_bucket").agg(F.max("_rank").alias("_best")).select("_bucket", (-F.col("_best._minus")).alias("_top"), "_best"), "near-tops")
     proposals = multi.join(tops, "_bucket").groupBy("_row").agg(F.max("_best").alias("_best")).select(F.col("_row").alias("a"), (-F.col("_best._minus")).alias("b")).where("a <> b")
-    first = _verified(stored(proposals, "near-proposals"), rows, source, percent, words)
-    comps = components(first)
-    rest = _late_links(multi.select("_bucket", "_row"), tops, comps, rows, source, percent, words)
-    comps = components(first.union(rest))
-    named = classes.join(comps.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_comp", F.coalesce("comp", "_node"))
-    least = named.groupBy("_comp").agg(F.min("_least").alias("_component"))
-    by_class = named.join(least, "_comp").select("_digest", "_component")
-    out = rows.select("_id", "_n", "_digest").join(by_class, "_digest", "left")
-    component = F.when(F.col("_n") > 0, F.col("_component")).otherwise(F.col("_id"))
-    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
-
-
-def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose document stands for its component, with all their columns.
-
-    Rows that repeat a kept identifier stay with it; rows with a null id go only
-    if a component with an id holds them.
+    early = _verified(stored(proposals, "near-proposals"), rows, percent, words)
+    late = _late_links(multi.select("_bucket", "_row"), tops, components(early), rows, percent, words)
+    comps = components(early.union(late))
+    narrow = None if kind == "bigint" else False  # strings have no known width
+    # Of linked classes only: the others stand for themselves.
+    linked = stored(classes.join(comps.withColumnRenamed("node", "_node"), "_node"), "near-linked")
+    least = stored(linked.groupBy("comp").agg(F.min("_first").alias("_least")), "near-least")
+    named = matched(linked, least, "comp", "_node", narrow).select("_digest", "_least")
+    by_class = stored(classes.join(named, "_digest", "left").select("_digest", F.coalesce("_least", "_first").alias("_least")), "near-named")
+    marked = matched(full.select("_row", "_id", "_n", "_digest"), by_class, "_digest", "_row", narrow)
+    out = marked.select("_row", "_id", "_n", F.col("_least.id").alias("_component"), (F.col("_least.row") == F.col("_row")).alias("_stays"))
+    alone = rows.where("_n = 0").select("_row", "_id", "_n", F.col("_id").alias("_component"), F.lit(True).alias("_stays"))
+    return rows, out.union(alone)
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """One row per document: the id, n_shingles, component_id and kept.
+
+    Documents whose shingle sets have 100 * intersection >= percent * union are
+    linked; component_id is the smallest id that links reach, kept tells that it
+    is the document's own.
+
+    Defined cases: a null or empty text, or one without words, has no shingles
+    and is linked with nothing; a null id never names a component unless all of
+    its members have none; repeated rows each give a row and share a component
+    through their equal sets; identifiers other than strings and integers raise
+    a TypeError; an empty table gives an empty result; other columns are ignored.
+    """
+    _, found = _decided(docs, id_col, text_col, percent, words)
+    kept = F.col("_id").eqNullSafe(F.col("_component"))
+    return found.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), kept.alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """One row of docs for each component, with all its columns: that of the smallest id.
+
+    Rows are told apart by themselves, not by their id: of several rows with the
+    smallest id of a component one stays, of rows with a null id one if no row of
+    the component has an id. Documents without words all stay. Other cases as in
+    near_duplicates; a null text stays null.
     """
-    id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "bigint"
-    gone = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("not kept").select(F.col(id_col).cast(id_type).alias("_gone")).distinct(), "near-gone")
-    return docs.join(_limited(gone), F.col(f"`{id_col}`").cast(id_type).eqNullSafe(F.col("_gone")), "left_anti")
+    others = [c for c in docs.columns if c != text_col]
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col(f"`{text_col}`").isNull().alias("untold"))
+    rows, found = _decided(docs, id_col, text_col, percent, words, rest)
+    gone = stored(found.where("not _stays").select("_row"), "near-gone")
+    back = {c: F.col(f"_rest.c{i}") for i, c in enumerate(others)} | {text_col: F.when(~F.col("_rest.untold"), F.col("_text").cast("string"))}
+    return rows.join(_limited(gone), "_row", "left_anti").select(*[back[c].alias(c) for c in docs.columns])
