@@ -5,11 +5,13 @@ copies of its string and keeps their smallest and largest identifiers.
 
 1. Every input split feeds its own trie (a combiner). Copies inside a split
    meet there, so a text that holds a third of all rows leaves each split once.
-   When a trie passes its byte budget, its subtrees are closed and emitted.
+   When a trie passes its byte budget, it spills its largest subtrees until half
+   of the budget is free; the other subtrees go on to meet copies.
    The outcome is stored once, which fixes which terminal owns which row.
 2. Terminals are dealt out by (length, content hash). Each partition inserts
-   them into tries again, sorted by that pair so that a full trie can be
-   closed subtree by subtree without splitting a text's copies.
+   them into a trie again, in the order of their bytes, so that every subtree
+   left of the path to the latest string is complete. When the trie passes its
+   budget, these subtrees spill, and no text's copies are split.
 3. Rows join their owner by the key of their split's terminal. A key occurs at
    most as often as one split has rows, so no join key is hot.
 """
@@ -22,21 +24,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import id_type, stored, text_of
 
 #: Bytes of key text a trie may hold before its subtrees are closed.
 TRIE_BYTES = 48 << 20
-_ABSENT = object()
 
 
 class Terminal:
     """All copies of one string: count, smallest and largest identifier, and the rows themselves."""
 
-    __slots__ = ("count", "members", "owner", "smallest", "largest")
+    __slots__ = ("count", "held", "largest", "members", "owner", "smallest")
 
     def __init__(self) -> None:
         self.count, self.smallest, self.largest, self.owner = 0, None, None, None
         self.members: list = []
+        self.held = 0  # bytes of the members
 
     def add(self, member, smallest, largest, count: int, keep_largest: bool) -> None:
         best = largest if keep_largest else smallest
@@ -51,6 +53,10 @@ class Terminal:
         self.members.append(member)
 
 
+#: Bytes charged for a node with its terminal, and for a member's tuple, beside the strings in them.
+NODE_BYTES, MEMBER_BYTES = 400, 300
+
+
 class PatriciaTrie:
     """A compressed radix trie over byte strings. A node is [label, children by first byte, terminal]."""
 
@@ -64,7 +70,7 @@ class PatriciaTrie:
         while at < end:
             child = node[1].get(key[at])
             if child is None:
-                self.bytes += end - at + 400
+                self.bytes += end - at + NODE_BYTES
                 node[1][key[at]] = leaf = [key[at:], {}, Terminal()]
                 return leaf[2]
             label = child[0]
@@ -75,23 +81,75 @@ class PatriciaTrie:
             fork = [label[:shared], {label[shared]: child}, None]
             child[0] = label[shared:]
             node[1][key[at]] = fork
-            self.bytes += 300
+            self.bytes += NODE_BYTES
             node, at = fork, at + shared
         if node[2] is None:
             node[2] = Terminal()
-            self.bytes += 200
         return node[2]
 
-    def close(self) -> Iterator[Terminal]:
-        """Take subtree after subtree out of the trie and yield its terminals."""
-        stack = [self.root]
-        self.root, self.bytes = [b"", {}, None], 0
+    def hold(self, terminal: Terminal, size: int) -> None:
+        """Charge so many bytes of a member to its terminal and to the trie."""
+        terminal.held += size
+        self.bytes += size
+
+    def taken(self, top: list) -> Iterator[Terminal]:
+        """The terminals of a subtree that no longer hangs on the trie; its bytes are given back."""
+        stack = [top]
         while stack:
-            _, children, terminal = stack.pop()
+            label, children, terminal = stack.pop()
+            self.bytes -= len(label) + NODE_BYTES
             if terminal is not None:
+                self.bytes -= terminal.held
                 yield terminal
             stack.extend(children.values())
-            children.clear()
+
+    def close(self) -> Iterator[Terminal]:
+        """Everything."""
+        top, self.root = self.root, [b"", {}, None]
+        yield from self.taken(top)
+        self.bytes = 0
+
+    def spill(self, goal: int) -> Iterator[Terminal]:
+        """Take out subtrees below the first fork, the largest first, until at most goal bytes are left."""
+        node = self.root
+        while len(node[1]) == 1 and node[2] is None:
+            (node,) = node[1].values()
+        for byte in sorted(node[1], key=lambda b: -_size(node[1][b])):
+            if self.bytes <= goal:
+                return
+            yield from self.taken(node[1].pop(byte))
+        if self.bytes > goal:
+            yield from self.close()
+
+    def spill_before(self, key: bytes) -> Iterator[Terminal]:
+        """Take out all that lies beside or above the path to key: complete, if strings come in order and key is next."""
+        node, at = self.root, 0
+        while True:
+            if node[2] is not None and at < len(key):
+                terminal, node[2] = node[2], None
+                self.bytes -= terminal.held
+                yield terminal
+            on = node[1].pop(key[at], None) if at < len(key) else None
+            if on is not None and not key.startswith(on[0], at):
+                yield from self.taken(on)
+                on = None
+            for child in list(node[1].values()):
+                yield from self.taken(child)
+            node[1].clear()
+            if on is None:
+                return
+            node[1][key[at]] = on
+            node, at = on, at + len(on[0])
+
+
+def _size(top: list) -> int:
+    """Bytes of a subtree."""
+    total, stack = 0, [top]
+    while stack:
+        label, children, terminal = stack.pop()
+        total += len(label) + NODE_BYTES + (terminal.held if terminal is not None else 0)
+        stack.extend(children.values())
+    return total
 
 
 def common_length(label: bytes, key: bytes, at: int) -> int:
@@ -106,16 +164,16 @@ def common_length(label: bytes, key: bytes, at: int) -> int:
     return low
 
 
-def _kind(id_type: str) -> pa.DataType:
-    return pa.string() if id_type == "string" else pa.int64()
+def _kind(kind: str) -> pa.DataType:
+    return pa.string() if kind == "string" else pa.int64()
 
 
-def _combine(id_type: str, keep_largest: bool, trie_bytes: int, rest: pa.DataType | None) -> Callable:
+def _combine(id_kind: str, keep_largest: bool, trie_bytes: int, rest: pa.DataType | None) -> Callable:
     """For each split: rows with the key of their terminal; the owner's row carries text, ids and count.
 
     With rest (the type of the other columns), only the owners' rows go on.
     """
-    kind = _kind(id_type)
+    kind = _kind(id_kind)
     kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.binary(), kind, kind, pa.int64(), *([rest] if rest else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,11 +182,11 @@ def _combine(id_type: str, keep_largest: bool, trie_bytes: int, rest: pa.DataTyp
         base = TaskContext.get().partitionId() << 36
         trie, made = PatriciaTrie(), 0
 
-        def emit() -> Iterator[pa.RecordBatch]:
+        def emit(terminals: Iterator[Terminal]) -> Iterator[pa.RecordBatch]:
             nonlocal made
             out: list = []
             size = 0
-            for terminal in trie.close():
+            for terminal in terminals:
                 key, made = base + made, made + 1
                 text = terminal.members[0][3]
                 for row in terminal.members:
@@ -145,15 +203,17 @@ def _combine(id_type: str, keep_largest: bool, trie_bytes: int, rest: pa.DataTyp
                 yield _batch(out, kinds)
 
         for batch in batches:
+            # Values outside the text weigh what their columns do on average, fourfold as Python objects.
+            beside = MEMBER_BYTES + 4 * sum(c.nbytes for i, c in enumerate(batch.columns) if i != 3) // max(1, len(batch))
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 found = trie.terminal(row[3])
+                trie.hold(found, beside + (0 if found.count else len(row[3])))
                 if found.count:
                     row = (*row[:3], b"", *row[4:])
                 found.add(row, row[0], row[0], 1, keep_largest)
-                trie.bytes += 300
                 if trie.bytes > trie_bytes:
-                    yield from emit()
-        yield from emit()
+                    yield from emit(trie.spill(trie_bytes // 2))
+        yield from emit(trie.close())
 
     return run
 
@@ -162,18 +222,18 @@ def _batch(rows: list, kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[str(i) for i in range(len(kinds))])
 
 
-def _resolve(id_type: str, keep_largest: bool, trie_bytes: int, rest: pa.DataType | None) -> Callable:
+def _resolve(id_kind: str, keep_largest: bool, trie_bytes: int, rest: pa.DataType | None) -> Callable:
     """For each partition of terminals: the owner of each one's text, or with rest the owning rows alone."""
-    kind = _kind(id_type)
+    kind = _kind(id_kind)
     kinds = [kind, pa.binary(), rest] if rest else [pa.int64(), kind, pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, last = PatriciaTrie(), _ABSENT
+        trie, last = PatriciaTrie(), None
 
-        def emit() -> Iterator[pa.RecordBatch]:
+        def emit(terminals: Iterator[Terminal]) -> Iterator[pa.RecordBatch]:
             out: list = []
             size = 0
-            for t in trie.close():
+            for t in terminals:
                 if rest:
                     text = t.members[0][1]
                     out.append((t.largest if keep_largest else t.smallest, text, t.owner[2]))
@@ -188,27 +248,28 @@ def _resolve(id_type: str, keep_largest: bool, trie_bytes: int, rest: pa.DataTyp
                 yield _batch(out, kinds)
 
         for batch in batches:
-            for length, digest, key, text, smallest, largest, count, *more in zip(*(c.to_pylist() for c in batch.columns)):
-                if trie.bytes > trie_bytes and (length, digest) != last:
-                    yield from emit()
-                last = (length, digest)
+            beside = MEMBER_BYTES + 4 * sum(c.nbytes for i, c in enumerate(batch.columns) if i != 1) // max(1, len(batch))
+            for key, text, smallest, largest, count, *more in zip(*(c.to_pylist() for c in batch.columns)):
+                if trie.bytes > trie_bytes and text != last:
+                    yield from emit(trie.spill_before(text))
+                last = text
                 found = trie.terminal(text)
-                trie.bytes += 300
+                trie.hold(found, beside + (0 if found.count else len(text)))
                 found.add((key, b"" if found.count else text, *more), smallest, largest, count, keep_largest)
-        yield from emit()
+        yield from emit(trie.close())
 
     return run
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, normalize, id_type: str, rest: Column | None = None) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, normalize, kind: str, rest: Column | None = None) -> DataFrame:
     text = (normalize or (lambda c: c))(text_of(F.col(f"`{text_col}`")))
     more = [] if rest is None else [rest.alias("_rest")]
-    rows = docs.select(F.col(f"`{id_col}`").cast(id_type).alias("_id"), text.alias("_t"), *more)
+    rows = docs.select(F.col(f"`{id_col}`").cast(kind).alias("_id"), text.alias("_t"), *more)
     return rows.select("_id", F.octet_length("_t").cast("long").alias("_length"), F.sha2("_t", 256).alias("_digest"), F.col("_t").cast("binary").alias("_bytes"), *(["_rest"] if more else []))
 
 
-def _combined_schema(id_type: str) -> str:
-    return f"_id {id_type}, _length bigint, _digest string, _key bigint, _best boolean, _text binary, _smallest {id_type}, _largest {id_type}, _count bigint"
+def _combined_schema(kind: str) -> str:
+    return f"_id {kind}, _length bigint, _digest string, _key bigint, _best boolean, _text binary, _smallest {kind}, _largest {kind}, _count bigint"
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalize: Callable[[Column], Column] | None = None, trie_bytes: int = TRIE_BYTES) -> DataFrame:
@@ -220,26 +281,24 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Defined cases: a null text counts as the empty text; rows with a null id
     form groups like others, and own one only if no row of it has an id (keep_id
-    is then null); an empty table gives an empty result; other columns of docs
-    are ignored, whatever their names.
+    is then null); identifiers other than strings and integers raise a
+    TypeError; an empty table gives an empty result; other columns of docs are
+    ignored, whatever their names.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep is smallest or largest, not {keep!r}")
-    id_type, largest = _id_type(docs, id_col), keep == "largest"
-    rows = _rows(docs, id_col, text_col, normalize, id_type)
-    local = stored(rows.mapInArrow(_combine(id_type, largest, trie_bytes, None), _combined_schema(id_type)), "exact")
+    kind, largest = id_type(docs, id_col), keep == "largest"
+    rows = _rows(docs, id_col, text_col, normalize, kind)
+    local = stored(rows.mapInArrow(_combine(kind, largest, trie_bytes, None), _combined_schema(kind)), "exact")
     terminals = local.where("_best").select("_length", "_digest", "_key", "_text", "_smallest", "_largest", "_count")
-    owners = _dealt(terminals).mapInArrow(_resolve(id_type, largest, trie_bytes, None), f"_key bigint, _keep {id_type}, _winner bigint, _size bigint")
+    owners = _dealt(terminals).mapInArrow(_resolve(kind, largest, trie_bytes, None), f"_key bigint, _keep {kind}, _winner bigint, _size bigint")
     kept = F.col("_best") & (F.col("_winner") == F.col("_key"))
     return local.select("_id", "_digest", "_key", "_best").join(owners, "_key").select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), kept.alias("kept"), F.col("_digest").alias("text_sha256"))
 
 
-def _id_type(docs: DataFrame, id_col: str) -> str:
-    return "string" if dict(docs.dtypes)[id_col] == "string" else "bigint"
-
-
 def _dealt(terminals: DataFrame) -> DataFrame:
-    return terminals.repartition("_length", "_digest").sortWithinPartitions("_length", "_digest", "_key")
+    """Terminals by (length, content hash), in the order of their bytes."""
+    return terminals.repartition("_length", "_digest").sortWithinPartitions("_text", "_key").drop("_length", "_digest")
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", trie_bytes: int = TRIE_BYTES) -> DataFrame:
@@ -250,15 +309,14 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    id_type, largest = _id_type(docs, id_col), keep == "largest"
+    kind, largest = id_type(docs, id_col), keep == "largest"
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     payload = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.lit(True).alias("held"))
-    rows = _rows(docs, id_col, text_col, None, id_type, payload)
-    kind = rows.schema["_rest"].dataType
-    arrow = to_arrow_type(kind)
-    ddl = kind.simpleString()
-    local = rows.mapInArrow(_combine(id_type, largest, trie_bytes, arrow), f"{_combined_schema(id_type)}, _rest {ddl}")
+    rows = _rows(docs, id_col, text_col, None, kind, payload)
+    arrow = to_arrow_type(rows.schema["_rest"].dataType)
+    ddl = rows.schema["_rest"].dataType.simpleString()
+    local = rows.mapInArrow(_combine(kind, largest, trie_bytes, arrow), f"{_combined_schema(kind)}, _rest {ddl}")
     terminals = local.select("_length", "_digest", "_key", "_text", "_smallest", "_largest", "_count", "_rest")
-    owners = _dealt(terminals).mapInArrow(_resolve(id_type, largest, trie_bytes, arrow), f"_id {id_type}, _text binary, _rest {ddl}")
+    owners = _dealt(terminals).mapInArrow(_resolve(kind, largest, trie_bytes, arrow), f"_id {kind}, _text binary, _rest {ddl}")
     back = {id_col: F.col("_id").cast(docs.schema[id_col].dataType), text_col: F.col("_text").cast("string")} | {c: F.col(f"_rest.c{i}") for i, c in enumerate(others)}
     return owners.select(*[back[c].alias(c) for c in docs.columns])
