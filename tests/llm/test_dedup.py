@@ -25,6 +25,33 @@ def test_trie_holds_what_a_dict_holds(keys):
     assert found == sorted((min(v), max(v), len(v), min(v)) for v in expected.values())
 
 
+@given(st.lists(st.binary(max_size=6), max_size=60), st.integers(0, 3000))
+def test_subtrees_spill_and_the_rest_stays(keys, goal):
+    trie, found = PatriciaTrie(), []
+    for i, k in enumerate(keys):
+        terminal = trie.terminal(k)
+        trie.hold(terminal, 100)
+        terminal.add(k, i, i, 1, False)
+    found = [m for t in trie.spill(goal) for m in t.members]
+    assert trie.bytes <= goal
+    assert sorted(found + [m for t in trie.close() for m in t.members]) == sorted(keys)
+
+
+@given(st.lists(st.binary(max_size=5), max_size=60), st.integers(1, 2000))
+def test_complete_subtrees_spill_in_order(keys, budget):
+    """As the second tries are used: strings in order, each string's copies in one terminal."""
+    trie, found, last = PatriciaTrie(), [], None
+    for i, k in enumerate(sorted(keys)):
+        if trie.bytes > budget and k != last:
+            found += list(trie.spill_before(k))
+        last = k
+        terminal = trie.terminal(k)
+        trie.hold(terminal, 100)
+        terminal.add(k, i, i, 1, False)
+    found += list(trie.close())
+    assert sorted((t.members[0], t.count) for t in found) == sorted((k, keys.count(k)) for k in set(keys))
+
+
 def test_common_length():
     assert common_length(b"abcd", b"xxabxd", 2) == 2
     assert common_length(b"ab", b"ab", 0) == 2
@@ -70,6 +97,8 @@ def test_deduplicated_keeps_whole_rows(spark):
     df = spark.createDataFrame(ROWS, DOCS)
     out = deduplicated(df, keep="largest")
     assert out.schema.simpleString() == df.schema.simpleString()
+    small = deduplicated(df.repartition(3), keep="largest", trie_bytes=1)
+    assert sorted(map(str, small.collect())) == sorted(map(str, out.collect()))
     kept = {(r["doc_id"], r["text"][:4], r["keep_id"]) for r in out.collect()}
     assert kept == {(None, "only", "x"), (4, "", "x"), (5, "A", "x"), (7, "dup", "x"), (8, "éééé", None), (2, "a", "x")}
     assert out.count() == 6
@@ -82,7 +111,8 @@ def sets(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(rows):
+def components_of(rows):
+    """Lists of row numbers that links join."""
     parent = {i: i for i in range(len(rows))}
 
     def find(x):
@@ -96,10 +126,19 @@ def brute(rows):
             b = all_[j]
             if a and b and 100 * len(a & b) >= 75 * len(a | b):
                 parent[find(i)] = find(j)
-    ids = defaultdict(list)
-    for i, (doc, _) in enumerate(rows):
-        ids[find(i)].append(doc)
-    return [(doc, len(all_[i]), min((x for x in ids[find(i)] if x is not None), default=None)) for i, (doc, _) in enumerate(rows)]
+    found = defaultdict(list)
+    for i in range(len(rows)):
+        found[find(i)].append(i)
+    return list(found.values())
+
+
+def brute(rows):
+    out = [None] * len(rows)
+    for members in components_of(rows):
+        least = min((rows[i][0] for i in members if rows[i][0] is not None), default=None)
+        for i in members:
+            out[i] = (rows[i][0], len(sets(rows[i][1])), least)
+    return out
 
 
 def family(rng, base, copies, edits):
@@ -128,8 +167,59 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == sorted(brute(rows), key=str)
     kept = N.without_near_duplicates(df)
     assert kept.columns == df.columns
-    wanted = {c for i, n, c in brute(rows) if n and c is not None} | {i for i, n, _ in brute(rows) if not n}
-    assert {r["doc_id"] for r in kept.where("doc_id is not null").collect()} == wanted - {None}
+    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, survivors(rows)))
+
+
+def survivors(rows):
+    """The ids of what stays: documents without words, and of each component its smallest id once (null if it has none)."""
+    named, out = components_of(rows), []
+    for members in named:
+        if not sets(rows[members[0]][1]):
+            out += [rows[i][0] for i in members]
+        else:
+            out.append(min((rows[i][0] for i in members if rows[i][0] is not None), default=None))
+    return out
+
+
+def test_unique_texts_survive_shared_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(None, a), (None, b), (5, b), (7, c), (7, b), (9, d), (9, d), (None, "x y"), (None, "x y"), (3, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    out = sorted(((r["doc_id"], r["text"]) for r in N.without_near_duplicates(df).collect()), key=str)
+    assert out == sorted([(None, a), (5, b), (7, c), (9, d), (None, "x y"), (3, None), (3, "")], key=str)
+    marked = N.near_duplicates(df).collect()
+    assert len(marked) == len(rows) and {r["component_id"] for r in marked if r["kept"] is False} == {5}
+
+
+def test_ids_of_other_types_are_refused(spark):
+    df = spark.createDataFrame([(1.2, "a b c"), (1.7, "a b c")], "doc_id double, text string")
+    for operator in (N.near_duplicates, N.without_near_duplicates, exact_dedup, deduplicated):
+        with pytest.raises(TypeError):
+            operator(df)
+
+
+def test_string_ids(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [("b", base), ("a", base.upper()), ("c", base + " more"), (None, "other words"), ("d", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in N.near_duplicates(df).collect()}
+    assert got == {"b": ("a", False), "a": ("a", True), "c": ("a", False), None: (None, True), "d": ("d", True)}
+    assert {r["doc_id"] for r in N.without_near_duplicates(df).collect()} == {"a", None, "d"}
+    out = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup(spark.createDataFrame([("b", "x"), ("a", "x")], "doc_id string, text string")).collect()}
+    assert out == {"b": ("a", False), "a": ("a", True)}
+
+
+def test_hot_keys_are_dealt_in_parts(spark, monkeypatch):
+    """The way of tables too large to broadcast, with one family of copies and texts of some thousand words."""
+    from tessel.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rng = random.Random(5)
+    base = " ".join(rng.choices([f"t{i}" for i in range(900)], k=3000))
+    rows = list(enumerate([base] * 15 + family(rng, base, 25, 20) + [f"own {i} words here at last" for i in range(10)]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in N.near_duplicates(df).collect())
+    assert got == sorted(brute(rows))
 
 
 def test_near_duplicates_of_nothing(spark):

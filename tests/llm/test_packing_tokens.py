@@ -83,6 +83,47 @@ def test_groups_lose_no_sequences(spark, monkeypatch):
     assert len(bins) <= len(P.best_two_fit(lengths, 100)) + 2
 
 
+def test_copies_are_packed_apart():
+    rng = random.Random(6)
+    lengths, owners = [], []
+    for i in range(400):
+        n = rng.randint(1, 60)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            lengths.append(n)
+            owners.append(i)
+    bins = P.best_two_fit(lengths, 100, owners)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) <= 100 and len({owners[i] for i in b}) == len(b) for b in bins)
+    assert len(bins) <= -(-sum(lengths) // 100) + 3
+    assert P.best_two_fit([3, 3, 3], 10, ["a"] * 3) == [[2], [1], [0]]
+
+
+def test_pack_in_training_order(spark, tmp_path):
+    """Files hold the order; groups are ranges of it, passes of a document lie in different sequences."""
+    rng = random.Random(8)
+    rows = [(i % 300, " ".join(["w"] * rng.randint(1, 700)) if i < 300 else "", 1) for i in range(600)]
+    rows = [(d, rows[d][1], n) for d, _, n in rows]
+    spark.createDataFrame(rows, "doc_id bigint, text string, position int").repartitionByRange(4, "position", "doc_id").write.parquet(str(tmp_path / "mix"))
+    docs = spark.read.parquet(str(tmp_path / "mix"))
+    out = P.pack(docs, order=P.stored_order(docs), group_pieces=64).collect()
+    assert len(out) == 600 and sorted(r["position"] for r in out) == list(range(600))
+    by_sequence = {}
+    for r in out:
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+    for members in by_sequence.values():
+        members.sort(key=lambda r: r["offset"])
+        assert [r["position"] for r in members] == sorted(r["position"] for r in members)
+        assert len({r["doc_id"] for r in members}) == len(members)
+        assert [r["offset"] for r in members] == [sum(m["length"] for m in members[:k]) for k in range(len(members))]
+        assert sum(r["length"] for r in members) <= 2048
+    # Most sequences lie inside one range of places; later rounds join neighbours.
+    inside = sum(members[-1]["position"] // 64 == members[0]["position"] // 64 for members in by_sequence.values())
+    assert 2 * inside > len(by_sequence)
+    assert len(by_sequence) <= -(-sum(r["length"] for r in out) // 2048) + 6
+    files = {r["doc_id"]: r["position"] for r in out if r["piece"] == 0}
+    assert files and P.stored_order(spark.range(1)) is None
+
+
 def test_pack(spark, exact):
     texts = [*ODD, None, "word " * 5000, "x y z", "x y z"]
     rows = [(i if i != 3 else None, t, 7) for i, t in enumerate(texts)] + [(5, texts[5], 7)]
@@ -110,6 +151,14 @@ def test_pack(spark, exact):
     assert sum(len(r["ids"]) for r in whole) == sum(r["length"] for r in out)
     assert {r["sequence_id"]: len(r["ids"]) for r in whole} == {s: sum(n for _, n in p) for s, p in by_sequence.items()}
     assert P.pack(df.limit(0)).count() == 0
+    with pytest.raises(TypeError):
+        P.pack(df.selectExpr("doc_id + 0.5D doc_id", "text"))
+
+
+def test_pack_string_ids(spark, exact):
+    df = spark.createDataFrame([("a", "x y"), (None, "z"), ("a", "x y")], "doc_id string, text string")
+    out = sorted(((r["doc_id"], r["length"]) for r in P.pack(df).collect()), key=str)
+    assert out == [("a", len(exact("x y")) + 1)] * 2 + [(None, len(exact("z")) + 1)]
 
 
 # -- counts
