@@ -14,7 +14,7 @@ from tessel.llm.common import delete, read_table, released, shared_dir
 from tessel.llm.exact_dedup import deduplicated
 from tessel.llm.mixing import mixed
 from tessel.llm.near_dedup import without_near_duplicates
-from tessel.llm.packing import pack
+from tessel.llm.packing import pack, stored_order
 from tessel.llm.quality_crf import accepted, trained
 
 
@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their places in sequences of 2048 tokens."""
-    return pack(docs)
+    """Pieces with their places in sequences of 2048 tokens, in the training order that the files of docs hold."""
+    return pack(docs, order=stored_order(docs))
 
 
 STAGES = [
@@ -56,7 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; only the last stage's table stays in the shared folder."""
+    """All stages over the documents table; only the last stage's table stays in the shared folder.
+
+    Defined cases: a null text counts as empty (quality scores it like any other);
+    null and repeated ids are documents of their own, told apart by their rows;
+    equal texts become one document; documents without words have no place in the
+    mix; extra columns travel along, whatever their names; an empty table gives an
+    empty result.
+    """
     docs = read_table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
