@@ -91,8 +91,8 @@ def id_type(docs: DataFrame, id_col: str) -> str:
     raise TypeError(f"identifiers are strings or integers, not {kind.simpleString()}")
 
 
-#: Rows up to which a table of a few fixed-width columns (at most 64 bytes a row, so 32 MB) is broadcast.
-BROADCAST_ROWS = 500_000
+#: Rows up to which a table of a few fixed-width columns (at most 64 bytes a row, so 13 MB) is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def is_small(df: DataFrame) -> bool:

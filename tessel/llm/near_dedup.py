@@ -42,7 +42,7 @@ SLACK = 4.5
 BLOCK = 512
 #: Partners of one hub that a task verifies before the hub's set is sent to another task as well.
 HUB_PARTNERS = 1024
-_WORD_CACHE = 400_000
+_WORD_CACHE = 150_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -134,8 +134,17 @@ def estimates(one: np.ndarray, many: np.ndarray, n_one: int, n_many: np.ndarray)
     return np.clip((matches / based_on - chance) / (1 - chance), 0, 1), based_on
 
 
+def _packed(text: bytes) -> bytes:
+    """A text as it is stored beside its sketch: its length and its bytes by zstd."""
+    return len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+
+
 def _sketches(words: int) -> Callable:
-    """Rows (_id, _text, maybe _rest) with a number of their own, their set's size and digest, registers and bands."""
+    """Rows (_id, _text, maybe _rest) with a number of their own, their set's size and digest, registers and bands; texts are packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -143,18 +152,22 @@ def _sketches(words: int) -> Callable:
         known, row = WordHashes(), TaskContext.get().partitionId() << 36
         names = ["_row", "_n", "_digest", "_regs", "_bands"]
         for batch in batches:
-            for start in range(0, len(batch), 1024):
-                own = batch.slice(start, 1024)
+            for start in range(0, len(batch), 512):
+                own = batch.slice(start, 512)
                 out: list[tuple] = []
-                for text in own.column(1):
-                    h = shingles(text.as_py(), known, words)
+                texts = []
+                for value in own.column(1):
+                    text = value.as_py()
+                    texts.append(_packed(text))
+                    h = shingles(text, known, words)
                     regs = registers(h) if len(h) else None
                     sketch = (None, None) if regs is None else (regs.tobytes(), band_keys(regs).tolist())
                     out.append((row, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), *sketch))
                     row += 1
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
                 columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
-                yield pa.RecordBatch.from_arrays([*own.columns, *columns], names=[*own.schema.names, *names])
+                given = [pa.array(texts, pa.binary()) if i == 1 else c for i, c in enumerate(own.columns)]
+                yield pa.RecordBatch.from_arrays([*given, *columns], names=[*own.schema.names, *names])
 
     return run
 
@@ -168,14 +181,14 @@ _SETS = "_key bigint, _part bigint, _role int, _node bigint, _set binary"
 
 
 def _sets(words: int) -> Callable:
-    """(text, node, key, part, role) in; the same with the full set out."""
+    """(packed text, node, key, part, role) in; the same with the full set out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            for start in range(0, len(batch), 1024):
-                text, node, key, part, role = batch.slice(start, 1024).columns
-                raw = pa.array([shingles(t.as_py(), known, words).tobytes() for t in text], pa.binary())
+            for start in range(0, len(batch), 512):
+                text, node, key, part, role = batch.slice(start, 512).columns
+                raw = pa.array([shingles(_unpacked(t.as_py()), known, words).tobytes() for t in text], pa.binary())
                 yield pa.RecordBatch.from_arrays([key, part, role, node, raw], names=["_key", "_part", "_role", "_node", "_set"])
 
     return run
@@ -326,7 +339,9 @@ def _late_links(multi: DataFrame, tops: DataFrame, comps: DataFrame, rows: DataF
     # In a group of two blocks of side 0, all members are compared with each other.
     side = F.when(F.col("_group.kind") == 1, F.col("_side")).otherwise(F.lit(0).cast("long"))
     keyed = sent.select("_bucket", F.concat_ws(":", "_group.kind", "_group.i", "_group.j").alias("_key"), side.alias("_s"), "_row", "_comp")
-    sketches = rows.select("_row", "_n", "_bands", "_regs")
+    keyed = stored(keyed, "near-members")
+    # Only the members' sketches move.
+    sketches = rows.select("_row", "_n", "_bands", "_regs").join(_limited(stored(keyed.select("_row").distinct(), "near-rows")), "_row", "left_semi")
     order = ["_bucket", "_key", "_s", "_row", "_comp", "_n", "_bands", "_regs"]
     dealt = lambda df, *more: df.select(*order, *more).repartition("_bucket", "_key").sortWithinPartitions("_bucket", "_key", "_row")
     promising = stored(dealt(keyed.join(sketches, "_row")).mapInArrow(_promising(percent), "_bucket bigint, _key string, _s bigint, _row bigint, _comp bigint"), "near-promising")
@@ -400,8 +415,20 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     near_duplicates; a null text stays null.
     """
     others = [c for c in docs.columns if c != text_col]
+    schema = docs.schema
     rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col(f"`{text_col}`").isNull().alias("untold"))
     rows, found = _decided(docs, id_col, text_col, percent, words, rest)
     gone = stored(found.where("not _stays").select("_row"), "near-gone")
-    back = {c: F.col(f"_rest.c{i}") for i, c in enumerate(others)} | {text_col: F.when(~F.col("_rest.untold"), F.col("_text").cast("string"))}
-    return rows.join(_limited(gone), "_row", "left_anti").select(*[back[c].alias(c) for c in docs.columns])
+    stay = rows.join(_limited(gone), "_row", "left_anti").select("_text", "_rest")
+    whole = stay.mapInArrow(_whole_texts, f"_text string, _rest {stay.schema['_rest'].dataType.simpleString()}")
+    back = {c: F.col(f"_rest.c{i}") for i, c in enumerate(others)} | {text_col: F.when(~F.col("_rest.untold"), F.col("_text")).cast(schema[text_col].dataType)}
+    return whole.select(*[back[c].alias(c) for c in docs.columns])
+
+
+def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed texts as text again."""
+    for batch in batches:
+        for start in range(0, len(batch), 512):
+            packed, rest = batch.slice(start, 512).columns
+            text = pa.array([_unpacked(t.as_py()) for t in packed], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([text, rest], names=["_text", "_rest"])
