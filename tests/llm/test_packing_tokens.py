@@ -190,6 +190,43 @@ def test_small_edits_touch_little():
         tree.edit(0, 10**9, "")
 
 
+def test_edits_close_together_are_made_together():
+    ids = ids_for(*PATHS)
+    counts = C.Counts(ids)
+    # Repeated lines all over a text: each pre-token that stays is encoded once for the tree and at most about once for the edits.
+    text = "\n".join(["the same line again"] * 20_000)
+    before, after, pieces, again = C.counted(text, C.without_repeated_lines(text), ids, counts)
+    assert (before, after) == (len(ids(text)), len(ids("the same line again"))) and again <= 4 * C.LEAF
+    mixed = "\n".join(f"line {i % 700} of many" for i in range(6000))
+    _, after, pieces, again = C.counted(mixed, C.without_repeated_lines(mixed), ids, counts)
+    assert after == len(ids("\n".join(f"line {i} of many" for i in range(700)))) and again < pieces
+    rng = random.Random(12)
+    for _ in range(200):
+        text = "".join(rng.choices(PARTS, k=rng.randint(0, 300)))
+        cuts = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, 2 * rng.randint(0, 6))), reverse=True)
+        edits = [(a, b, rng.choice(["", "x", " yy "])) for b, a in zip(cuts[::2], cuts[1::2])]
+        assert C._applied(text, C.together(text, edits, 20)) == C._applied(text, edits)
+        assert C.counted(text, edits, ids, counts)[1] == len(ids(C._applied(text, edits)))
+    assert C.together("abcdef", [(0, 1, "x"), (4, 5, "y")]) == [(0, 1, "x"), (4, 5, "y")]  # forward edits stay as they are
+
+
+def test_stored_trees_are_edited(spark, tmp_path, exact):
+    from pyspark.sql import functions as F
+
+    texts = [*ODD, None, "word and more " * 4000, "same", "same"]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id bigint, text string, n_tokens int")
+    C.token_trees(df).write.parquet(str(tmp_path / "trees"))
+    trees = spark.read.parquet(str(tmp_path / "trees"))
+    assert {r["doc_id"]: r["n_tokens"] for r in trees.collect()} == {i: len(exact(t or "")) for i, t in enumerate(texts)}
+    edits = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("new ").alias("new")))
+    out = {r["doc_id"]: r for r in C.edited_trees(trees, edits).collect()}
+    for i, t in enumerate(texts):
+        assert out[i]["n_tokens"] == len(exact("new " + (t or ""))) and "".join(leaf["text"] for leaf in out[i]["leaves"]) == "new " + (t or "")
+    long = out[len(ODD) + 1]
+    assert long["n_encoded_again"] <= 3 * C.LEAF
+    assert C.edited_trees(trees.limit(0), edits).count() == 0
+
+
 def test_token_counts(spark, exact):
     from pyspark.sql import functions as F
 
