@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import text_of
 from .html_pages import labelled_pages
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _MARK = re.compile(r'data-main="([01])"')
 _WORD = re.compile(r"[a-z]+")
@@ -52,10 +53,94 @@ class Page:
     stops: list[int]
 
 
+class Markup:
+    """The next comment, declaration or tag of a page, in time linear in the page.
+
+    A tag ends at the first > outside quotes. Once a quote is found that stays
+    open up to the page's end, this and all later tags end at their first >.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source, self.quotes = source, True
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None] | None:
+        """(start, end, name), with no name for what isn't a tag; None if there is nothing more."""
+        source = self.source
+        while (start := source.find("<", at)) >= 0:
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                return start, len(source) if end < 0 else end + 3, None
+            first = source.find(">", start)
+            if first < 0:  # no tag ends any more; a comment runs to the end
+                start = source.find("<!--", start)
+                return None if start < 0 else (start, len(source), None)
+            if source[start + 1] in "!?":
+                return start, first + 1, None
+            name = _NAME.match(source, start + 1)
+            if name is not None:
+                return start, self.tag_end(name.end(), first) + 1, name
+            at = start + 1
+        return None
+
+    def tag_end(self, at: int, first: int) -> int:
+        source = self.source
+        while self.quotes:
+            found = _QUOTE_OR_END.search(source, at)
+            if found is None:
+                self.quotes = False
+                break
+            if found[0] == ">":
+                return found.start()
+            at = source.find(found[0], found.end()) + 1
+            if not at:
+                self.quotes = False
+        return first
+
+
+class Open:
+    """The open elements that are nodes, with the places of each tag and of block elements."""
+
+    def __init__(self) -> None:
+        self.tags, self.nodes = ["#root"], [0]
+        self.at: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def push(self, tag: str, node: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        if tag not in INLINE:
+            self.blocks.append(len(self.tags))
+        self.tags.append(tag)
+        self.nodes.append(node)
+
+    def cut(self, size: int) -> None:
+        """Close all elements from that place on."""
+        while len(self.tags) > size:
+            self.at[self.tags.pop()].pop()
+            self.nodes.pop()
+        while self.blocks[-1] >= size:
+            self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag: of an inline element only up to the nearest block."""
+        places = self.at.get(tag)
+        if places and (tag not in INLINE or places[-1] > self.blocks[-1]):
+            self.cut(places[-1])
+
+    def make_room(self, tag: str) -> None:
+        """What the opening tag of a block element closes."""
+        for k in reversed(self.blocks):
+            closed_by = CLOSED_BY.get(self.tags[k])
+            if not closed_by:
+                return
+            if tag in closed_by:
+                self.cut(k)
+                return
+
+
 def parse(source: str) -> Page:
     """A forgiving parse: unknown end tags are ignored, missing ones implied, what is open at the end is closed."""
     page = Page([-1], [0], [("#root",)], [0], [], [0], [0], [0])
-    stack: list[tuple[str, int]] = [("#root", 0)]  # elements that are nodes
+    opened, markup = Open(), Markup(source)
     links = 0
     block: list[tuple[int, str]] = []
     at, end = 0, len(source)
@@ -63,9 +148,10 @@ def parse(source: str) -> Page:
     def text(raw: str) -> None:
         if "&" in raw:
             raw = html.unescape(raw)
-        block.append((stack[-1][1], raw))
+        node = opened.nodes[-1]
+        block.append((node, raw))
         if raw and not raw.isspace():
-            node, n = stack[-1][1], len(raw)
+            n = len(raw)
             page.chars[node] += n
             page.stops[node] += len(_STOPS.findall(raw))
             if links:
@@ -78,28 +164,23 @@ def parse(source: str) -> Page:
             block = []
 
     while at < end:
-        found = _TOKEN.search(source, at)
+        found = markup.next(at)
         if found is None:
             text(source[at:])
             break
-        if found.start() > at:
-            text(source[at : found.start()])
-        at = found.end()
-        tag = found[2] or found[5]
-        if tag is None:
+        start, stop, name = found
+        if start > at:
+            text(source[at:start])
+        at = stop
+        if name is None:
             continue
-        tag, closing, attrs = tag.lower(), found[1] or found[4], found[3] or found[6] or ""
-        if closing:
+        tag, attrs = name[2].lower(), source[name.end() : stop - 1]
+        if name[1]:
             if tag == "a":
                 links = max(0, links - 1)
             if tag not in INLINE:
                 close_block()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            opened.close(tag)
             continue
         if tag in RAW:
             ending = _RAW_END[tag].search(source, at)
@@ -108,15 +189,9 @@ def parse(source: str) -> Page:
         if tag not in INLINE:
             close_block()
             links = 0
-            for k in range(len(stack) - 1, 0, -1):
-                closed_by = CLOSED_BY.get(stack[k][0])
-                if closed_by and tag in closed_by:
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE and not closed_by:
-                    break
+            opened.make_room(tag)
         elif tag == "br":
-            block.append((stack[-1][1], " "))
+            block.append((opened.nodes[-1], " "))
         if tag == "a":
             links += 1
         if tag in VOID:
@@ -124,7 +199,7 @@ def parse(source: str) -> Page:
         named = _NAMES.findall(attrs) if attrs and ("class" in attrs or "id" in attrs or "role" in attrs or "CLASS" in attrs) else ()
         if tag in INLINE and not named:
             continue
-        parent = stack[-1][1]
+        parent = opened.nodes[-1]
         mark = _MARK.search(attrs) if "data-main" in attrs else None
         page.parents.append(parent)
         page.depths.append(page.depths[parent] + 1)
@@ -133,7 +208,7 @@ def parse(source: str) -> Page:
         page.chars.append(0)
         page.linked.append(0)
         page.stops.append(0)
-        stack.append((tag, len(page.parents) - 1))
+        opened.push(tag, len(page.parents) - 1)
     close_block()
     return page
 
@@ -161,7 +236,7 @@ class Forest:
             at += len(page.parents)
         flat = lambda name: np.array([x for page in pages for x in getattr(page, name)])
         parents, depth = np.array(parent), flat("depths")
-        levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
+        levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1])
         chars, linked, stops = (flat(n).astype(float) for n in ("chars", "linked", "stops"))
         below, below_linked = chars.copy(), linked.copy()
         for level in levels[:0:-1]:
