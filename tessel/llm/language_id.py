@@ -23,12 +23,21 @@ from .learning import held_out
 DIMENSIONS = 4096
 #: Training texts per language aimed at, and in all. Scoring reads every text whole.
 PER_LANGUAGE, TRAIN_DOCS = 300, 4000
-#: Rows of remembered word scores in a worker.
-CACHE_WORDS = 200_000
+#: Remembered word scores in a worker: rows, and bytes of all of them.
+CACHE_WORDS, CACHE_BYTES = 200_000, 64 << 20
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters (Unicode's categories L) of the lower-case text."""
+    words = _LETTERS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    # The pattern also lets numbers such as ½ and Ⅷ through.
+    return "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+
+
 def word_features(word: str) -> np.ndarray:
     """Hashed places of a lower-case word's n-grams (1 to 4 characters, with borders) and of itself."""
     bordered = f"<{word}>"
@@ -38,7 +47,7 @@ def word_features(word: str) -> np.ndarray:
 
 def text_features(text: str) -> np.ndarray | None:
     """Mean over the words of their feature counts, or None without letters."""
-    words = _LETTERS.findall(text.lower())
+    words = words_of(text)
     if not words:
         return None
     places, counts = np.unique(np.concatenate([word_features(w) for w in words]), return_counts=True)
@@ -113,7 +122,9 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
-        self.table = np.zeros((CACHE_WORDS, model.weights.shape[1]))
+        # Many languages have many outputs a word; the bound on bytes then holds fewer words.
+        self.rows = max(1024, min(CACHE_WORDS, CACHE_BYTES // (8 * model.weights.shape[1])))
+        self.table = np.zeros((self.rows, model.weights.shape[1]))
 
     def _row(self, word: str) -> int:
         row = self.known[word] = len(self.known)
@@ -122,9 +133,10 @@ class Scorer:
 
     def outputs(self, words: list[str]) -> np.ndarray:
         total = np.zeros(self.table.shape[1])
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            if len(self.known) + len(part) > CACHE_WORDS:
+        step = min(50_000, self.rows)
+        for at in range(0, len(words), step):
+            part = words[at : at + step]
+            if len(self.known) + len(part) > self.rows:
                 self.known.clear()
             known = self.known
             rows = [known[w] if w in known else self._row(w) for w in part]
@@ -132,7 +144,7 @@ class Scorer:
         return total / len(words) + self.model.bias
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = _LETTERS.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words:
             return UNDETERMINED, 0.0
         model, out = self.model, self.outputs(words)
@@ -158,31 +170,34 @@ def _sigmoid(x: float) -> float:
 
 def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(lang, x.tobytes()) for lang, text in zip(*(c.to_pylist() for c in batch.columns)) if (x := text_features(text)) is not None]
+        rows = [(place, lang, x.tobytes()) for place, lang, text in zip(*(c.to_pylist() for c in batch.columns)) if (x := text_features(text)) is not None]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.binary()))], names=["lang", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.binary()))], names=["place", "lang", "x"])
 
 
 def trained(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, train_docs: int = TRAIN_DOCS) -> Model | None:
     """Fit on a bounded sample of texts with a language, outside the held-out fold; None if there are none.
 
     Every language gives about per_language texts: a hash of the row decides, at
-    a rate that its number of rows sets, so rare languages are there in full.
+    a rate that its number of rows sets, so rare languages are there in full. Of
+    more languages than train_docs those with most texts are learned. Equal
+    tables give equal models, however their rows are dealt.
     """
     key = F.col(f"`{id_col}`")
     rows = docs.where(~held_out(key) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(key.cast("string").alias("_key"), F.col(f"`{lang_col}`").cast("string").alias("_lang"), F.col(f"`{text_col}`").alias("_text"))
-    counts = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().limit(train_docs).collect()}
-    if not counts:
-        return None
-    aim = min(per_language, max(2, train_docs // len(counts)))
-    rate = F.lit(0.0)
-    for name, n in counts.items():
-        rate = F.when(F.col("_lang") == name, F.lit(min(1.0, aim / n))).otherwise(rate)
-    place = F.pmod(F.xxhash64(F.coalesce("_key", F.lit("")), "_text"), F.lit(1 << 30)) / float(1 << 30)
-    found = sorted((r["lang"], bytes(r["x"])) for r in rows.where(place < rate).select("_lang", "_text").mapInArrow(_collected, "lang string, x binary").limit(2 * train_docs).collect())
+    found = rows.groupBy("_lang").count().orderBy(F.col("count").desc(), "_lang").limit(train_docs).collect()
     if not found:
         return None
-    return fit(np.stack([np.frombuffer(x, np.float32) for _, x in found]), np.array([lang for lang, _ in found], object))
+    aim = min(per_language, max(2, train_docs // len(found)))
+    rates = docs.sparkSession.createDataFrame([(r["_lang"], min(1.0, aim / r["count"])) for r in found], "_lang string, _rate double")
+    place = F.pmod(F.xxhash64(F.coalesce("_key", F.lit("")), "_text"), F.lit(1 << 30))
+    # The rates are as many as the languages counted, train_docs at most.
+    chosen = rows.withColumn("_place", place).join(F.broadcast(rates), "_lang").where(F.col("_place") / float(1 << 30) < F.col("_rate"))
+    sample = chosen.select("_place", "_lang", "_text").mapInArrow(_collected, "place bigint, lang string, x binary").orderBy("place", "lang", "x").limit(2 * train_docs)
+    taken = sorted((r["lang"], bytes(r["x"])) for r in sample.collect())
+    if not taken:
+        return None
+    return fit(np.stack([np.frombuffer(x, np.float32) for _, x in taken]), np.array([lang for lang, _ in taken], object))
 
 
 def _predict(model: Model | None) -> Callable:
