@@ -147,7 +147,9 @@ def trained(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     parts = [training_labels(labels.where(condition), id_col, [label_col], most) for condition, most in ((F.col(label_col) > 0, train_toxic), (F.col(label_col) == 0, train_clean))]
     chosen = parts[0].union(parts[1]).select(F.col(id_col).alias("_chosen"), F.col(label_col).cast("int").alias("_grade"))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(F.col(f"`{text_col}`")).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_chosen")).select("_text", "_grade")
-    found = sorted((r["grade"], bytes(r["x"])) for r in rows.mapInArrow(_features, "x binary, grade int").limit(2 * (train_toxic + train_clean)).collect())
+    # Only repeated ids make more rows than labels; then those with the smallest features stay, whatever the rows' order.
+    sample = rows.mapInArrow(_features, "x binary, grade int").orderBy("x", "grade").limit(2 * (train_toxic + train_clean))
+    found = sorted((r["grade"], bytes(r["x"])) for r in sample.collect())
     grade = np.array([g for g, _ in found], int)
     texts = [np.frombuffer(x, np.uint32) for _, x in found]
     chosen_features = select(texts, grade > 0) if len(grade) else []
