@@ -201,7 +201,9 @@ def trained(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     """
     chosen = training_labels(labels, id_col, [label_col], train_docs).select(F.col(id_col).alias("_chosen"), F.col(label_col).cast("int").alias("_good"))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(F.col(f"`{text_col}`")).cast("binary").alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_chosen")).select("_text", "_good")
-    found = sorted((r["good"], bytes(r["x"])) for r in rows.mapInArrow(_features, "x binary, good int").limit(2 * train_docs).collect())
+    # Only repeated ids make more rows than labels; then those with the smallest features stay, whatever the rows' order.
+    sample = rows.mapInArrow(_features, "x binary, good int").orderBy("x", "good").limit(2 * train_docs)
+    found = sorted((r["good"], bytes(r["x"])) for r in sample.collect())
     good = np.array([g for g, _ in found], float)
     if len(set(good.tolist())) < 2:
         emit = np.zeros(3 * N_OWN + 1)
