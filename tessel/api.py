@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 
 from .lang import ast as A
 from .lang import parse
-from .operators.documents import ERROR, run_documents, run_json, spread
+from .operators.documents import ERROR, document_text, run_documents, run_json, spread, with_interpreted
 from .operators.shape_ops import check_json, check_rows
 from .plans.columns import Columns, LoweringError, of_column
+from .plans.failures import collecting
 from .plans.relational import Relational
 from .plans.rewrite import simplified
 from .shapes import ConstraintInference, DirectInference, Shape, ill_typed
@@ -87,8 +88,7 @@ class Program:
         df = spread(df)
         if json:
             return "interpreter", run_json(df, node, json, keys)
-        text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'"})
-        return "interpreter", run_json(df.withColumn("_document", text), node, "_document", keys)
+        return "interpreter", run_json(df.withColumn("_document", document_text(df)), node, "_document", keys)
 
     def _json_tier(self, df: DataFrame, node: A.Node, json: str, keys: list[str]) -> DataFrame:
         """JSON text read with the schema the program's input shape asks for, and typed from there on."""
@@ -103,20 +103,33 @@ class Program:
         bad = F.col("_m").isNotNull() | F.col("_parsed").isNull()
         message = F.coalesce(F.concat(F.lit("at "), F.col("_m.path"), F.lit(", expected "), F.col("_m.expected"), F.lit(", got "), F.col("_m.got")), F.lit("the document is not valid JSON"))
         error = F.when(bad, F.struct(F.lit("shape").alias("code"), message.alias("message"))).cast(ERROR)
-        cols, v = Columns(), of_column(F.col("_d"), t)
+        source = source.where(F.col("_text").isNotNull()).withColumn("_bad", bad).withColumn("_error", error)
+        # The shape excludes nulls where a value is needed; texts that don't parse and the like are left to the interpreter.
+        with collecting(nulls=False) as failures:
+            good = self._json_outputs(source, node, t, keys)
+        if not failures.items:
+            return good
+        failing = ~F.col("_bad") & failures.any()
+        with collecting(nulls=False):
+            good = self._json_outputs(source.where(~failing), node, t, keys)
+        return with_interpreted(good, run_json(source.where(failing), node, "_text", keys))
+
+    @staticmethod
+    def _json_outputs(source: DataFrame, node: A.Node, t: T.DataType, keys: list[str]) -> DataFrame:
+        """Outputs for documents of type t in _d; _bad ones give their _error."""
+        cols, v, bad = Columns(), of_column(F.col("_d"), t), F.col("_bad")
         kept = [F.col(f"`{k}`") for k in keys]
-        source = source.where(F.col("_text").isNotNull())
         if not cols.is_many(node, {}):
-            return source.select(*kept, F.lit(0).alias("ord"), F.when(~bad, cols.one(node, v, {}).to_column()).alias("value"), error.alias("error"))
+            return source.select(*kept, F.lit(0).alias("ord"), F.when(~bad, cols.one(node, v, {}).to_column()).alias("value"), F.col("_error").alias("error"))
         items = cols.many(node, v, {})
         out = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("value", items.type.elementType), T.StructField("error", T.DataType.fromDDL(ERROR))])
         good = F.transform(items.column, lambda x, i: F.struct(i, x, F.lit(None).cast(ERROR))).cast(T.ArrayType(out))
-        rows = F.when(bad, F.array(F.struct(F.lit(0), F.lit(None), error)).cast(T.ArrayType(out))).otherwise(good)
+        rows = F.when(bad, F.array(F.struct(F.lit(0), F.lit(None), F.col("_error"))).cast(T.ArrayType(out))).otherwise(good)
         return source.select(*kept, F.explode(rows).alias("_o")).select(*keys, "_o.ord", "_o.value", "_o.error")
 
-    def over(self, tables: dict[str, DataFrame], *, exact_sums: bool = False) -> DataFrame:
+    def over(self, tables: dict[str, DataFrame]) -> DataFrame:
         """The program over named tables as one DataFrame plan."""
-        return Relational(tables, exact_sums).lower(simplified(self.node))
+        return Relational(tables).lower(simplified(self.node))
 
 
 def _keys(df: DataFrame, keys: list[str] | None, json: str | None) -> list[str]:

@@ -11,12 +11,13 @@ import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..lang import ast as A
 from ..plans.columns import Columns, Val, condition, of_column
+from ..plans.failures import Failures, collecting
 
 ERROR = "struct<code string, message string>"
 RECURSION = 20_000
@@ -32,17 +33,49 @@ def run_documents(df: DataFrame, node: A.Node, keys: list[str]) -> DataFrame:
     """Tier 1: outputs of the program for every row, whose columns are the document's fields.
 
     A program with one output adds no rows; one with several explodes its array
-    of outputs, ord counting from 0. Raises LoweringError where the program has
-    no typed form.
+    of outputs, ord counting from 0. A failure of the only output is the row's
+    error; rows that may fail otherwise go to the interpreter. Raises
+    LoweringError where the program has no typed form.
     """
+    with collecting() as failures:
+        good, (out, error) = _typed(df, node, keys, failures)
+    if not failures.items or error is not None:
+        return good
+    with collecting():
+        good, _ = _typed(df.where(~failures.any()), node, keys, None)
+    return with_interpreted(good, run_json(df.where(failures.any()).withColumn("_document", document_text(df)), node, "_document", keys))
+
+
+def _typed(df: DataFrame, node: A.Node, keys: list[str], failures: Failures | None) -> tuple[DataFrame, tuple[Val, Column | None]]:
+    """Outputs as rows, with their value and the error column, if all failures of the only output make one."""
     cols = Columns()
     df, node, v = narrowed(df, node, row_value(df), cols)
-    kept = [F.col(f"`{k}`") for k in keys]
-    if not cols.is_many(node, {}):
-        out = cols.one(node, v, {})
-        return df.select(*kept, F.lit(0).alias("ord"), out.to_column().alias("value"), F.lit(None).cast(ERROR).alias("error"))
-    items = cols.many(node, v, {})
-    return df.select(*kept, F.posexplode(items.column).alias("ord", "value")).withColumn("error", F.lit(None).cast(ERROR))
+    kept, error = [F.col(f"`{k}`") for k in keys], F.lit(None).cast(ERROR)
+    in_selects = len(failures.items) if failures else 0
+    if cols.is_many(node, {}):
+        items = cols.many(node, v, {})
+        return df.select(*kept, F.posexplode(items.column).alias("ord", "value")).withColumn("error", error), (items, None)
+    out = cols.one(node, v, {})
+    value, native = out.to_column(), None
+    if failures and failures.items and not in_selects and failures.plain():
+        native = failures.error().cast(ERROR)
+        value, error = F.when(native.isNull(), value), native
+    return df.select(*kept, F.lit(0).alias("ord"), value.alias("value"), error.alias("error")), (out, native)
+
+
+def document_text(df: DataFrame) -> Column:
+    """The row as JSON text."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'"})
+
+
+def with_interpreted(typed: DataFrame, interpreted: DataFrame) -> DataFrame:
+    """Both, the interpreter's JSON texts read as the typed value's type."""
+    t = typed.schema["value"].dataType
+    if isinstance(t, T.NullType):
+        value = F.lit(None)
+    else:
+        value = F.from_json(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), T.StructType([T.StructField("v", t)]))["v"]
+    return typed.unionByName(interpreted.withColumn("value", value))
 
 
 def narrowed(df: DataFrame, node: A.Node, v: Val, cols: Columns) -> tuple[DataFrame, A.Node, Val]:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..lang import ast as A
-from .columns import BOOLEAN, DOUBLE, LONG, STRING, VARIANT, Columns, LoweringError, Val, array_of, as_array, as_number, as_string, cast, common_type, element, literal, number, of_column, regex_literal, truthy
+from .columns import BOOLEAN, DOUBLE, LONG, STRING, VARIANT, Columns, LoweringError, Val, array_of, as_array, as_number, as_string, cast, common_type, element, items_of, java_pattern, literal, needed, number, of_column, regex_literal, truthy
+from .failures import collecting, each, note
 
 FUNCTIONS: dict = {}
 
@@ -67,7 +68,20 @@ def _double(f):
     return lambda v: number(f(cast(v, DOUBLE)))
 
 
-_integral = lambda f: lambda v: v if isinstance(v.type, T.IntegralType) else number(f(cast(v, DOUBLE)).cast("double"))
+
+
+def _integral(f):
+    """Rounding; doubles from 2^52 on are whole, and beyond what a long holds."""
+
+    def rounded(v):
+        if isinstance(v.type, T.IntegralType):
+            return v
+        x = cast(v, DOUBLE)
+        return number(F.when(F.abs(x) < 2.0**52, f(x).cast("double")).otherwise(x))
+
+    return rounded
+
+
 _rounded = lambda x: F.when(x < 0, -F.floor(-x + 0.5)).otherwise(F.floor(x + 0.5))
 for _name, _f in {
     "floor": _integral(F.floor), "ceil": _integral(F.ceil), "trunc": _integral(lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))), "round": _integral(_rounded),
@@ -100,7 +114,10 @@ def _scalb(cols, v, env, x, e):
 def _tonumber(cols, v, env):
     if v.kind == "number":
         return v
-    return number(F.try_cast(as_string(v).column, "double") if hasattr(F, "try_cast") else as_string(v).column.try_cast("double"))
+    text = as_string(v, quiet=True).column
+    well = F.coalesce(text.rlike(r"^\s*-?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), F.lit(False))
+    note(~well, "argument", F.concat(cols.shown(v), F.lit(" cannot be parsed as a number")), null=False)
+    return number(F.when(well, text.try_cast("double")))
 
 
 # -- strings
@@ -116,7 +133,9 @@ def _tojson(cols, v, env):
 
 @rule("fromjson")
 def _fromjson(cols, v, env):
-    return Val(F.try_parse_json(as_string(v).column), VARIANT)
+    parsed = F.try_parse_json(as_string(v).column)
+    note(parsed.isNull())
+    return Val(parsed, VARIANT)
 
 
 FUNCTIONS["ascii_upcase", 0] = lambda cols, v, env: Val(F.translate(as_string(v).column, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), STRING)
@@ -130,18 +149,27 @@ def _with_text(f):
     return run
 
 
+def _stripped(f):
+    """What isn't text stays as it is."""
+
+    def run(cols, v, env, arg):
+        return f(as_string(v, quiet=True).column, as_string(cols.one(arg, v, env), quiet=True).column)
+
+    return run
+
+
 FUNCTIONS["startswith", 1] = _with_text(lambda s, p: Val(s.startswith(p), BOOLEAN))
 FUNCTIONS["endswith", 1] = _with_text(lambda s, p: Val(s.endswith(p), BOOLEAN))
-FUNCTIONS["ltrimstr", 1] = _with_text(lambda s, p: Val(F.when(s.startswith(p), F.substring(s, F.char_length(p) + 1, F.char_length(s))).otherwise(s), STRING))
-FUNCTIONS["rtrimstr", 1] = _with_text(lambda s, p: Val(F.when(s.endswith(p), F.substring(s, F.lit(1), F.char_length(s) - F.char_length(p))).otherwise(s), STRING))
+FUNCTIONS["ltrimstr", 1] = _stripped(lambda s, p: Val(F.when(s.startswith(p), F.substring(s, F.char_length(p) + 1, F.char_length(s))).otherwise(s), STRING))
+FUNCTIONS["rtrimstr", 1] = _stripped(lambda s, p: Val(F.when(s.endswith(p), F.substring(s, F.lit(1), F.char_length(s) - F.char_length(p))).otherwise(s), STRING))
 
 
 @rule("split/1")
 def _split(cols, v, env, sep):
-    s, p = as_string(v).column, cols.one(sep, v, env)
+    s, p = as_string(v, quiet=v.kind == "string").column, cols.one(sep, v, env)
     if not isinstance(p.constant, str):
         raise LoweringError("the separator must be a constant")
-    return Val(F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, regex_literal(p.constant))), T.ArrayType(STRING))
+    return Val(F.when(s.isNull() | (s == ""), F.array().cast("array<string>")).otherwise(F.split(s, regex_literal(p.constant))), T.ArrayType(STRING))
 
 
 def _regex(cols, v, env, args) -> tuple[str, bool]:
@@ -151,7 +179,7 @@ def _regex(cols, v, env, args) -> tuple[str, bool]:
         raise LoweringError("the expression must be a constant")
     flags = (found[1] if len(found) > 1 else "") or ""
     own = "".join({"i": "iu", "x": "x", "s": "s"}.get(c, "") for c in flags)
-    return (f"(?{own})" if own else "") + found[0], "g" in flags
+    return java_pattern((f"(?{own})" if own else "") + found[0]), "g" in flags
 
 
 @rule("split/2")
@@ -190,6 +218,7 @@ def _capture(cols, v, env, *args):
     if every or not names:
         raise LoweringError("this capture is left to the interpreter")
     s = as_string(v).column
+    note(~F.coalesce(s.rlike(pattern), F.lit(False)))  # no match, no output
     groups = {m: i for i, m in enumerate(re.findall(r"\((?!\?[^<]|\?<[=!])(?:\?<(\w+)>)?", pattern), 1)}
     return Val(fields={n: Val(F.when(s.rlike(pattern), F.regexp_extract(s, pattern, groups[n])), STRING) for n in names})
 
@@ -233,7 +262,10 @@ def _length(cols, v, env):
 @rule("keys", "keys_unsorted")
 def _keys(cols, v, env):
     if v.fields is not None:
+        if v.column is not None:
+            note(v.column.isNull(), "argument", F.lit("null has no keys"), null=True)
         return Val(F.array(*[F.lit(k) for k in sorted(v.fields)]), T.ArrayType(STRING))
+    needed(v, v, "has no keys")
     if isinstance(v.type, T.MapType):
         return Val(F.array_sort(F.map_keys(v.column)), T.ArrayType(STRING))
     if v.kind == "array":
@@ -245,6 +277,8 @@ def _keys(cols, v, env):
 @rule("has/1")
 def _has(cols, v, env, key):
     k = cols.one(key, v, env)
+    if v.fields is None:
+        needed(v)
     if v.kind == "variant" and isinstance(k.constant, str):
         return Val(F.try_variant_get(v.column, f'$["{k.constant}"]', "variant").isNotNull(), BOOLEAN)
     if isinstance(v.type, T.MapType):
@@ -257,13 +291,16 @@ def _has(cols, v, env, key):
 @rule("contains/1")
 def _contains(cols, v, env, x):
     if v.kind == "string":
-        return Val(v.column.contains(as_string(cols.one(x, v, env)).column), BOOLEAN)
+        return Val(needed(v).column.contains(as_string(cols.one(x, v, env)).column), BOOLEAN)
     raise LoweringError("containment of containers is left to the interpreter")
 
 
 @rule("reverse")
 def _reverse(cols, v, env):
-    return Val(F.reverse(v.column), v.type) if v.kind == "string" else Val(F.reverse(as_array(v).column), v.type)
+    if v.kind == "string":
+        return Val(F.reverse(needed(v).column), STRING)
+    items = as_array(v, quiet=v.kind == "array")
+    return Val(F.coalesce(F.reverse(items.column), F.array().cast(items.type)), items.type)
 
 
 def _sortable(v: Val) -> Val:
@@ -290,14 +327,14 @@ def _keyed(cols: Columns, items: Val, env: dict, f: A.Node) -> Val:
     t = element(items)
     kinds: list = []
 
-    def each(x: Column, i: Column) -> Column:
+    def keyed(x: Column, i: Column) -> Column:
         key = cols.one(f, of_column(x, t), env)
         if key.kind not in ("number", "string", "boolean"):
             raise LoweringError("this key is compared by the total order")
         kinds.append(key.type)
         return F.struct(key.column.alias("k"), i.alias("i"), x.alias("x"))
 
-    made = F.transform(items.column, each)
+    made = each(F.transform, items.column, keyed)
     return Val(made, T.ArrayType(T.StructType([T.StructField("k", kinds[0]), T.StructField("i", T.IntegerType()), T.StructField("x", t)])))
 
 
@@ -333,17 +370,17 @@ def _max(cols, v, env):
 
 @rule("first")
 def _first(cols, v, env):
-    return cols.item(as_array(v), literal(0.0))
+    return cols.item(as_array(v, quiet=v.kind == "array"), literal(0.0))
 
 
 @rule("last")
 def _last(cols, v, env):
-    return cols.item(as_array(v), literal(-1.0))
+    return cols.item(as_array(v, quiet=v.kind == "array"), literal(-1.0))
 
 
 @rule("nth/1")
 def _nth(cols, v, env, n):
-    return cols.item(as_array(v), cols.one(n, v, env))
+    return cols.item(as_array(v, quiet=v.kind == "array"), cols.one(n, v, env))
 
 
 @rule("first/1")
@@ -365,7 +402,7 @@ def _isempty(cols, v, env, f):
 
 @rule("map/1")
 def _map(cols, v, env, f):
-    return cols.each(as_array(v), f, env)
+    return cols.mapped(items_of(v), f, env)
 
 
 @rule("map_values/1")
@@ -375,14 +412,19 @@ def _map_values(cols, v, env, f):
     if isinstance(v.type, T.MapType):
         kinds: list = []
 
-        def each(_, x):
+        needed(v)
+
+        def changed(_, x):
             out = cols.one(f, of_column(x, v.type.valueType), env)
             kinds.append(out.to_type())
             return out.to_column()
 
-        made = F.transform_values(v.column, each)
+        with collecting() as inner:
+            made = F.transform_values(v.column, changed)
+        if inner.items:
+            raise LoweringError("values of a map that may fail are left to the interpreter")
         return Val(made, T.MapType(STRING, kinds[0]))
-    return cols.each(as_array(v), f, env)
+    return cols.mapped(as_array(v), f, env)
 
 
 def _sum(items: Val) -> Val:
@@ -390,17 +432,17 @@ def _sum(items: Val) -> Val:
     if isinstance(t, T.NumericType):
         out = LONG if isinstance(t, T.IntegralType) else DOUBLE
         total = F.aggregate(items.column, F.lit(0).cast(out), lambda a, x: a + F.coalesce(x.cast(out), F.lit(0).cast(out)))
-        return Val(F.when(F.size(items.column) > 0, total), out)
+        return Val(F.when(F.exists(items.column, lambda x: x.isNotNull()), total), out)
     if isinstance(t, T.StringType):
-        return Val(F.when(F.size(items.column) > 0, F.array_join(items.column, "")), STRING)
+        return Val(F.when(F.exists(items.column, lambda x: x.isNotNull()), F.array_join(items.column, "")), STRING)
     if isinstance(t, T.ArrayType):
-        return Val(F.when(F.size(items.column) > 0, F.flatten(F.filter(items.column, lambda x: x.isNotNull()))), t)
+        return Val(F.when(F.exists(items.column, lambda x: x.isNotNull()), F.flatten(F.filter(items.column, lambda x: x.isNotNull()))), t)
     raise LoweringError("records are added by the interpreter")
 
 
 @rule("add")
 def _add(cols, v, env):
-    return _sum(as_array(v))
+    return _sum(items_of(v))
 
 
 @rule("add/1")
@@ -410,10 +452,10 @@ def _add_of(cols, v, env, f):
 
 def _quantifier(name: str, whole) -> None:
     def over(items: Val, test) -> Val:
-        return Val(whole(items.column, lambda x: truthy(test(of_column(x, element(items))))), BOOLEAN)
+        return Val(each(whole, items.column, lambda x: truthy(test(of_column(x, element(items))))), BOOLEAN)
 
-    FUNCTIONS[name, 0] = lambda cols, v, env: over(as_array(v), lambda x: x)
-    FUNCTIONS[name, 1] = lambda cols, v, env, f: over(as_array(v), lambda x: cols.one(f, x, env))
+    FUNCTIONS[name, 0] = lambda cols, v, env: over(items_of(v), lambda x: x)
+    FUNCTIONS[name, 1] = lambda cols, v, env, f: over(items_of(v), lambda x: cols.one(f, x, env))
     FUNCTIONS[name, 2] = lambda cols, v, env, g, f: over(cols.many(g, v, env), lambda x: cols.one(f, x, env))
 
 
@@ -428,6 +470,7 @@ def _flatten(cols, v, env, depth=None):
     if not isinstance(n, float):
         raise LoweringError("the depth must be a constant")
     while n > 0 and isinstance(element(items), T.ArrayType):
+        note(F.exists(items.column, lambda x: x.isNull()), null=True)
         items = Val(F.flatten(items.column), element(items))
         n -= 1
     return items
@@ -438,9 +481,10 @@ def _to_entries(cols, v, env):
     if v.fields is not None:
         return array_of([Val(fields={"key": literal(k), "value": Val(cast(x, common_type(list(v.fields.values()))), common_type(list(v.fields.values())))}) for k, x in v.fields.items()])
     if isinstance(v.type, T.MapType):
+        needed(v, v, "has no keys")
         t = T.ArrayType(T.StructType([T.StructField("key", STRING), T.StructField("value", v.type.valueType)]))
         return Val(F.map_entries(v.column), t)
-    items = as_array(v)
+    items = needed(as_array(v, quiet=True), v, "has no keys")
     t = T.ArrayType(T.StructType([T.StructField("key", T.IntegerType()), T.StructField("value", element(items))]))
     return Val(F.transform(items.column, lambda x, i: F.struct(i.alias("key"), x.alias("value"))), t)
 
@@ -451,7 +495,10 @@ def _from_entries(cols, v, env):
     t = element(items)
     if not isinstance(t, T.StructType) or t.fieldNames() != ["key", "value"]:
         raise LoweringError("entries need a key and a value")
-    return Val(F.map_from_entries(items.column), T.MapType(STRING, t["value"].dataType))
+    keys = F.transform(items.column, lambda x: x["key"])
+    sound = (F.size(F.array_distinct(keys)) == F.size(keys)) & ~F.exists(keys, lambda k: k.isNull())
+    note(~sound)
+    return Val(F.when(sound, F.map_from_entries(items.column)), T.MapType(STRING, t["value"].dataType))
 
 
 @rule("transpose")
@@ -460,6 +507,7 @@ def _transpose(cols, v, env):
     t = element(rows)
     if not isinstance(t, T.ArrayType):
         raise LoweringError("only arrays of arrays are transposed")
+    note(F.exists(rows.column, lambda r: r.isNull()), null=True)
     width = F.coalesce(F.array_max(F.transform(rows.column, lambda r: F.size(r))), F.lit(0))
     made = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.transform(rows.column, lambda r: F.get(r, i)))
     return Val(F.when(width > 0, made).otherwise(F.array().cast(rows.type)), rows.type)
@@ -472,17 +520,27 @@ def _del(cols, v, env, path):
         if v.fields is not None and isinstance(key.constant, str):
             return Val(fields={k: x for k, x in v.fields.items() if k != key.constant})
         if v.kind == "array" and key.kind == "number":
-            n = F.size(v.column)
-            at = F.when(key.column < 0, key.column + n).otherwise(key.column).cast("int")
+            n = F.size(needed(v).column)
+            at = F.when(key.column < 0, key.column + n).otherwise(key.column).try_cast("int")
             return Val(F.filter(v.column, lambda x, i: i != at), v.type)
     raise LoweringError("this deletion is left to the interpreter")
 
 
 @rule("todate", "todateiso8601")
 def _todate(cols, v, env):
-    return Val(F.date_format(F.timestamp_seconds(as_number(v).column), "yyyy-MM-dd'T'HH:mm:ss'Z'"), STRING)
+    seconds = F.floor(cast(as_number(v), DOUBLE))
+    held = F.abs(seconds) < 100_000_000_000  # years of four digits, and some more
+    note(~held)
+    return Val(F.when(held, F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")), STRING)
 
 
 @rule("fromdate", "fromdateiso8601")
 def _fromdate(cols, v, env):
-    return Val(F.unix_timestamp(F.to_timestamp(as_string(v).column, "yyyy-MM-dd'T'HH:mm:ssX")).cast("long"), LONG)
+    text = as_string(v, quiet=True).column
+    # The form is checked first: the parser's own idea of a date is wider.
+    formed = F.coalesce(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$"), F.lit(False))
+    at = F.when(formed, F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssX")))
+    message = F.concat(F.lit("date "), cols.shown(v), F.lit(" does not match format %Y-%m-%dT%H:%M:%SZ"))
+    as_string(v)
+    note(at.isNull(), "argument", message)
+    return Val(F.unix_timestamp(at).cast("long"), LONG)

@@ -1,9 +1,9 @@
 """Lowering of single-valued program parts to Column expressions (typed and VARIANT tiers).
 
 Rules of the typed tier: SQL NULL stands for null; integral columns stay
-integral; / and non-integral maths give DOUBLE; what would be an error for one
-row's value gives NULL, what is an error for the column's type is a
-LoweringError (and leaves the program to a later tier).
+integral; / and non-integral maths give DOUBLE; what is an error for one row's
+value gives NULL and is noted as a failure (see failures), what is an error for
+the column's type is a LoweringError (and leaves the program to a later tier).
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..lang import ast as A
 from ..shapes.algebra import to_ddl
 from ..shapes.direct import DirectInference
+from .failures import collecting, each, fold, guarded, note
 
 
 class LoweringError(Exception):
@@ -27,12 +28,16 @@ class LoweringError(Exception):
 
 @dataclass
 class Val:
-    """A value per row: a column of a known type, or a record of such (fields)."""
+    """A value per row: a column of a known type, or a record of such (fields).
+
+    test is a boolean as a where clause takes it, where null counts as false.
+    """
 
     column: Column | None = None
     type: T.DataType | None = None
     fields: dict[str, Val] | None = None
     constant: object = field(default=..., compare=False)
+    test: Column | None = field(default=None, compare=False)
 
     @property
     def kind(self) -> str:
@@ -65,6 +70,11 @@ def kind_of(t: T.DataType) -> str:
 DOUBLE, STRING, BOOLEAN, LONG, INT, VARIANT = T.DoubleType(), T.StringType(), T.BooleanType(), T.LongType(), T.IntegerType(), T.VariantType()
 
 
+def tested(c: Column) -> Val:
+    """A comparison that is null where it doesn't hold for a null."""
+    return Val(F.coalesce(c, F.lit(False)), BOOLEAN, test=c)
+
+
 def number(c: Column) -> Val:
     return Val(c, DOUBLE)
 
@@ -106,22 +116,38 @@ def truthy(v: Val) -> Column:
 
 def condition(v: Val) -> Column:
     """truthy where null counts as false anyway (a where clause): plain, so that it can be pushed down."""
+    if v.test is not None:
+        return v.test
     return v.column if v.kind == "boolean" else truthy(v)
 
 
-def as_number(v: Val) -> Val:
+def as_number(v: Val, quiet: bool = False) -> Val:
+    """The value as a number; unless quiet, the row fails where it is none."""
     if v.kind == "variant":
-        return number(F.when(_variant_is(v.column, "number"), F.try_variant_get(v.column, "$", "double")))
-    if v.kind != "number":
+        made = number(F.when(_variant_is(v.column, "number"), F.try_variant_get(v.column, "$", "double")))
+    elif v.kind == "number":
+        made = v
+    else:
         raise LoweringError(f"a number is needed, not {v.kind}")
-    return v
+    return made if quiet else needed(made, v, "is not a number")
 
 
-def as_string(v: Val) -> Val:
+def as_string(v: Val, quiet: bool = False) -> Val:
     if v.kind == "variant":
-        return Val(F.when(F.schema_of_variant(v.column) == "STRING", F.try_variant_get(v.column, "$", "string")), STRING)
-    if v.kind != "string":
+        made = Val(F.when(F.schema_of_variant(v.column) == "STRING", F.try_variant_get(v.column, "$", "string")), STRING)
+    elif v.kind == "string":
+        made = v
+    else:
         raise LoweringError(f"a string is needed, not {v.kind}")
+    return made if quiet else needed(made, v, "is not a string")
+
+
+def needed(v: Val, given: Val | None = None, what: str = "") -> Val:
+    """Note that the row fails where the value is null; what says how, if the message is '<what was given> <what>'."""
+    if v.constant is ...:
+        variant = given is not None and given.kind == "variant"
+        shown = F.coalesce(F.to_json(given.column), F.lit("null")) if variant else F.lit("null")
+        note(v.column.isNull(), "argument", F.concat(shown, F.lit(f" {what}")) if what else None, null=not variant)
     return v
 
 
@@ -130,14 +156,26 @@ def _variant_is(c: Column, kind: str) -> Column:
     return {"number": s.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), "array": s.startswith("ARRAY"), "object": s.startswith("OBJECT"), "string": s == "STRING", "boolean": s == "BOOLEAN", "null": s == "VOID"}[kind]
 
 
-def as_array(v: Val) -> Val:
+def as_array(v: Val, quiet: bool = False) -> Val:
     if v.kind == "variant":
-        return Val(F.try_variant_get(v.column, "$", "array<variant>"), T.ArrayType(VARIANT))
-    if v.kind == "object" and v.fields is not None:
+        made = Val(F.try_variant_get(v.column, "$", "array<variant>"), T.ArrayType(VARIANT))
+    elif v.kind == "object" and v.fields is not None:
         return array_of(list(v.fields.values()))
-    if v.kind != "array":
+    elif v.kind == "array":
+        made = v
+    else:
         raise LoweringError(f"an array is needed, not {v.kind}")
-    return v
+    return made if quiet else needed(made, v, "is not an array")
+
+
+def items_of(v: Val) -> Val:
+    """The array of what .[] gives."""
+    made = as_array(v, quiet=True)
+    if made.column is not None and v.fields is None and v.constant is ...:
+        variant = v.kind == "variant"
+        shown = F.coalesce(F.to_json(v.column), F.lit("null")) if variant else F.lit("null")
+        note(made.column.isNull(), "iterate", F.concat(F.lit("Cannot iterate over "), shown), null=not variant)
+    return made
 
 
 def common_type(vals: list[Val]) -> T.DataType:
@@ -238,7 +276,7 @@ class Columns:
     def item(self, target: Val, key: Val) -> Val:
         if target.kind == "null":
             return literal(None)
-        arr = as_array(target) if target.fields is None else target
+        arr = as_array(target, quiet=target.kind != "variant") if target.fields is None else target
         if arr.kind != "array":
             raise LoweringError(f"{target.kind} has no items")
         if isinstance(key.constant, float):
@@ -246,7 +284,9 @@ class Columns:
                 raise LoweringError("a fractional index is an error")
             at = F.lit(int(key.constant) + (key.constant >= 0))
         else:
-            whole = F.when(key.column == F.floor(key.column), key.column.cast("int"))
+            whole = F.when(key.column == F.floor(key.column), key.column.try_cast("int"))
+            note(key.column != F.floor(key.column))
+            needed(key)
             at = F.when(whole >= 0, whole + 1).otherwise(whole)
         found = F.when(at.isNotNull() & (at != 0), F.try_element_at(arr.column, at)) if key.constant is ... else F.try_element_at(arr.column, at)
         return of_column(found, element(arr))
@@ -258,11 +298,12 @@ class Columns:
         if target.kind == "string":
             n = F.char_length(target.column)
         else:
-            target = as_array(target)
+            target = as_array(target, quiet=target.kind != "variant")
             n = F.size(target.column)
         clamp = lambda c: F.when(c < 0, F.greatest(F.lit(0), c + n)).otherwise(F.least(c, n))
-        start = clamp(F.floor(as_number(low).column).cast("int"))
-        end = clamp(F.ceil(as_number(high).column).cast("int")) if high else n
+        # A null bound is an open one.
+        start = F.coalesce(clamp(F.floor(as_number(low, True).column).try_cast("int")), F.lit(0)) if low.kind != "null" else F.lit(0)
+        end = F.coalesce(clamp(F.ceil(as_number(high, True).column).try_cast("int")), n) if high and high.kind != "null" else n
         size = F.greatest(F.lit(0), end - start)
         if target.kind == "string":
             return Val(F.substring(target.column, start + 1, size), STRING)
@@ -284,7 +325,9 @@ class Columns:
         return self.many(node.body, v, env) if node.body else Val(F.array(), T.ArrayType(T.NullType()))
 
     def _negate(self, node, v, env):
-        x = as_number(self.one(node.body, v, env))
+        x = as_number(self.one(node.body, v, env), quiet=True)
+        if x.constant is ...:
+            note(x.column.isNull(), "operand", F.lit("null cannot be negated"), null=True)
         return Val(-x.column, x.type)
 
     def _template(self, node, v, env):
@@ -352,36 +395,52 @@ class Columns:
                 t = LONG if isinstance(a.type, T.IntegralType) and isinstance(b.type, T.IntegralType) else DOUBLE
                 x, y = cast(a, t), cast(b, t)
                 null_free = a.constant is not ..., b.constant is not ...
+                if t == LONG and T.LongType() in (a.type, b.type):
+                    total = F.try_add(x, y)
+                    return Val(total if all(null_free) else F.when(x.isNull(), y).when(y.isNull(), x).otherwise(total), t)
                 return Val(x + y if all(null_free) else F.coalesce(x + y, *[c for c, free in ((y, null_free[1]), (x, null_free[0])) if free] or [x, y]), t)
             if a.kind == "string":
                 return Val(F.coalesce(F.concat(a.column, b.column), a.column, b.column), STRING)
             if a.kind == "array":
                 t = common_type([Val(None, element(a)), Val(None, element(b))])
-                return Val(F.concat(a.column.cast(T.ArrayType(t)), b.column.cast(T.ArrayType(t))), T.ArrayType(t))
+                x, y = a.column.cast(T.ArrayType(t)), b.column.cast(T.ArrayType(t))
+                return Val(F.coalesce(F.concat(x, y), x, y), T.ArrayType(t))
             if a.fields is not None and b.fields is not None:
                 return Val(fields=a.fields | b.fields)
             raise LoweringError(f"{a.kind} cannot be added here")
         if op == "-" and a.kind == "array" and b.kind == "array":
+            needed(a)
+            needed(b)
             return Val(F.filter(a.column, lambda x: ~F.exists(b.column, lambda y: x.eqNullSafe(y))), a.type)
         if op == "*":
             for x, y in ((a, b), (b, a)):
                 if x.kind == "string" and y.kind == "number":
-                    n = y.column.cast("int")
+                    needed(x)
+                    needed(y)
+                    n = y.column.try_cast("int")
                     return Val(F.when(y.column >= 0, F.repeat(x.column, n)), STRING)
                 if x.kind == "array" and y.kind == "number" and x is a:
-                    n = F.when(F.size(x.column) == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), y.column.cast("int")))
+                    needed(x)
+                    needed(y)
+                    n = F.when(F.size(x.column) == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), y.column.try_cast("int")))
                     cycle = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(x.column, i % F.size(x.column)))
                     return Val(F.when(n > 0, cycle).otherwise(F.array().cast(x.type)), x.type)
         if op == "*" and "variant" in (a.kind, b.kind):
             raise LoweringError("a number repeats text, so the kind of both sides must be known")
-        a, b = as_number(a), as_number(b)
+        variant = "variant" in (a.kind, b.kind)
+        shown = [self.shown(x) for x in (a, b)]
+        a, b = as_number(a, quiet=True), as_number(b, quiet=True)
+        nulls = [x.column.isNull() for x in (a, b) if x.constant is ...]
+        if nulls:
+            verb = {"-": "subtracted", "*": "multiplied", "/": "divided", "%": "divided (remainder)"}[op]
+            message = F.concat(shown[0], F.lit(" and "), shown[1], F.lit(f" cannot be {verb}"))
+            note(nulls[0] if len(nulls) == 1 else nulls[0] | nulls[1], "operands", message, null=not variant)
         integral = isinstance(a.type, T.IntegralType) and isinstance(b.type, T.IntegralType)
-        if op == "-":
-            t = LONG if integral else DOUBLE
-            return Val(cast(a, t) - cast(b, t), t)
-        if op == "*":
+        if op in ("-", "*"):
             t = LONG if integral else DOUBLE
-            return Val(cast(a, t) * cast(b, t), t)
+            if integral and T.LongType() in (a.type, b.type):  # a sum beyond 64 bits is null and ends no job
+                return Val((F.try_subtract if op == "-" else F.try_multiply)(cast(a, t), cast(b, t)), t)
+            return Val(cast(a, t) - cast(b, t) if op == "-" else cast(a, t) * cast(b, t), t)
         x, y = cast(a, DOUBLE), cast(b, DOUBLE)
         if op == "/":
             if isinstance(b.constant, float) and b.constant:
@@ -392,6 +451,12 @@ class Columns:
             return Val(cast(a, LONG) % cast(b, LONG), LONG) if integral else number(x % y)
         return number(F.when(y == 0, F.lit(math.nan)).otherwise(x % F.when(y != 0, y)))
 
+    def shown(self, v: Val) -> Column:
+        """The value as messages show it."""
+        if v.kind == "variant":
+            return F.coalesce(F.to_json(v.column), F.lit("null"))
+        return self.tojson(v)
+
     def compare(self, op: str, a: Val, b: Val) -> Val:
         if a.kind == "variant" or b.kind == "variant":
             other = b if a.kind == "variant" else a
@@ -404,9 +469,9 @@ class Columns:
             if op not in ("==", "!="):
                 return self.ordered_variant(op, a, b)
             if other.constant is not ...:
-                same = F.coalesce(self.compare("==", *((as_string(x) if other.kind == "string" else as_number(x)) for x in (a, b))).column, F.lit(False))
+                same = F.coalesce(self.compare("==", *((as_string(x, True) if other.kind == "string" else as_number(x, True)) for x in (a, b))).column, F.lit(False))
                 return Val(same if op == "==" else ~same, BOOLEAN)
-            a, b = (as_string(x) if other.kind == "string" else as_number(x) for x in (a, b))
+            a, b = (as_string(x, True) if other.kind == "string" else as_number(x, True) for x in (a, b))
         if a.kind == "null" or b.kind == "null":
             other = b if a.kind == "null" else a
             is_null = F.lit(True) if other.kind == "null" else ~truthy(other) if other.fields is not None else other.column.isNull()
@@ -428,7 +493,7 @@ class Columns:
                 if isinstance(v.type, (T.DoubleType, T.FloatType)) and v.constant is ... and not sure:
                     same = same & ~F.isnan(F.coalesce(v.column, F.lit(0.0)))
             if op == "==":
-                return Val(same, BOOLEAN)
+                return tested(same)
             return Val(~same if not sure else F.coalesce(x != y, F.lit(True)), BOOLEAN)
         if op in (">", ">="):
             low, high, strict = (b, a, op == ">")
@@ -442,7 +507,7 @@ class Columns:
                 made = made & ~F.isnan(v.column) if is_high else made | F.isnan(v.column)
         if low.constant is ...:
             made = made | (l.isNull() & (h.isNotNull() if strict else F.lit(True)))
-        return Val(made, BOOLEAN)
+        return tested(made)
 
     def ordered_variant(self, op: str, a: Val, b: Val) -> Val:
         """A variant against a number or string constant: by value within its kind, else by the order of kinds."""
@@ -450,7 +515,7 @@ class Columns:
             op, a, b = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}[op], b, a
         if b.constant is ...:
             raise LoweringError("two columns of unknown kinds are compared by the total order")
-        own = as_string(a) if b.kind == "string" else as_number(a)
+        own = as_string(a, True) if b.kind == "string" else as_number(a, True)
         by_value = self.compare(op, own, b).column
         kind = F.coalesce(F.schema_of_variant(a.column), F.lit("VOID"))
         lower = ["VOID", "BOOLEAN"] if b.kind == "number" else None
@@ -458,16 +523,19 @@ class Columns:
         return Val(F.when(own.column.isNotNull(), by_value).otherwise(is_lower if op in ("<", "<=") else ~is_lower), BOOLEAN)
 
     def _logic(self, node, v, env):
-        a, b = self.one(node.left, v, env), self.one(node.right, v, env)
+        a = self.one(node.left, v, env)
+        with guarded():
+            b = self.one(node.right, v, env)
         x, y = condition(a), condition(b)
         # Null counts as false: AND and OR of three-valued logic agree with that under a where.
-        return Val(x & y if node.op == "and" else x | y, BOOLEAN)
+        return tested(x & y if node.op == "and" else x | y)
 
     def _alternative(self, node, v, env):
-        a = self.one(node.left, v, env)
+        with guarded():
+            a = self.one(node.left, v, env)
+            b = self.one(node.right, v, env)
         if a.kind == "null":
-            return self.one(node.right, v, env)
-        b = self.one(node.right, v, env)
+            return b
         if a.kind == "variant":
             other = b.column if b.kind == "variant" else b.to_column().cast("variant")
             return Val(F.when(truthy(a), a.column).otherwise(other), VARIANT)
@@ -478,7 +546,8 @@ class Columns:
 
     def _if(self, node, v, env):
         test = self.one(node.condition, v, env)
-        a, b = self.one(node.then, v, env), self.one(node.otherwise, v, env)
+        with guarded():
+            a, b = self.one(node.then, v, env), self.one(node.otherwise, v, env)
         if a.fields is not None and b.fields is not None and a.fields.keys() == b.fields.keys():
             return Val(fields={k: self.choose(test, a.fields[k], b.fields[k]) for k in a.fields})
         return self.choose(test, a, b)
@@ -511,7 +580,7 @@ class Columns:
             raise LoweringError("this reduce has no aggregate form")
         t = DOUBLE if start.kind == "number" else start.type
         step = lambda acc, x: cast(self.one(node.update, Val(acc, t), env | {f"${node.pattern.name}": of_column(x, element(items))}), t)
-        return Val(F.aggregate(items.column, cast(start, t), step), t)
+        return Val(fold(items.column, cast(start, t), step), t)
 
     def _assign(self, node, v, env):
         """Assignment to a path of constant fields and iterations."""
@@ -546,23 +615,25 @@ class Columns:
             return change(v)
         key, rest = path[0], path[1:]
         if key is None:
-            items, types = as_array(v), []
+            items, types = items_of(v), []
 
-            def each(x: Column) -> Column:
+            def item(x: Column) -> Column:
                 out = self.updated(of_column(x, element(items)), rest, change)
                 types.append(T.ArrayType(out.to_type()))
                 return out.to_column()
 
-            made = F.transform(items.column, each)
-            return Val(made, types[0])
+            return Val(each(F.transform, items.column, item), types[0])
         if v.fields is None:
             raise LoweringError(f"{v.kind} has no field to assign")
+        if v.column is not None:
+            note(v.column.isNull(), null=True)
         return Val(fields=v.fields | {key: self.updated(v.fields.get(key, literal(None)), rest, change)})
 
     def _try(self, node, v, env):
         if node.handler is not None:
             raise LoweringError("a handler needs the error's value")
-        return self.one(node.body, v, env)
+        with guarded():
+            return self.one(node.body, v, env)
 
     def _define(self, node, v, env):
         return self.one(node.rest, v, env | {(node.name, len(node.params)): (node.params, node.body, env)})
@@ -605,11 +676,11 @@ class Columns:
                 t = common_type([Val(None, element(x)), Val(None, element(y))])
                 return Val(F.concat(x.column.cast(T.ArrayType(t)), y.column.cast(T.ArrayType(t))), T.ArrayType(t))
             case A.Iterate(target):
-                return as_array(self.one(target, v, env))
+                return items_of(self.one(target, v, env))
             case A.Pipe(a, b):
                 if self.is_many(a, env) or self.is_many(b, env):
                     left = self.many(a, v, env)
-                    return self.each(left, b, env)
+                    return self.mapped(left, b, env)
             case A.Call("select", (test,)):
                 keep = truthy(self.one(test, v, env))
                 t = T.ArrayType(v.to_type())
@@ -629,6 +700,7 @@ class Columns:
                 if name == "scan" and re.search(r"(?<!\\)\((?!\?[:=!<])", pattern):
                     raise LoweringError("matches with groups are left to the interpreter")
                 s = as_string(v).column
+                java_pattern(pattern)
                 return Val(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)) if name == "scan" else F.split(s, pattern), T.ArrayType(STRING))
             case A.Foreach(source, pattern, init, update, extract) if pattern.kind == "var":
                 return self.running(self.many(source, v, env), pattern.name, self.one(init, v, env), update, extract, env)
@@ -642,10 +714,10 @@ class Columns:
                     made.append(T.ArrayType(out.type))
                     return out.column
 
-                pairs = F.transform(left.column, lambda x: F.transform(right.column, lambda y: pair(x, y)))
+                pairs = each(F.transform, left.column, lambda x: each(F.transform, right.column, lambda y: pair(x, y)))
                 return Val(F.flatten(pairs), made[0])
             case A.Call("range", args) if len(args) <= 2:
-                low = cast(self.one(args[0], v, env), LONG) if len(args) == 2 else F.lit(0).cast("long")
+                low = cast(as_number(self.one(args[0], v, env)), LONG) if len(args) == 2 else F.lit(0).cast("long")
                 high = F.ceil(as_number(self.one(args[-1], v, env)).column).cast("long")
                 return Val(F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>")), T.ArrayType(LONG))
             case A.Bind(source, patterns, body) if not self.is_many(source, env):
@@ -653,11 +725,12 @@ class Columns:
                 return self.many(body, v, env | self.bound(patterns[0], x, env))
             case A.Bind(source, patterns, body):
                 items = self.many(source, v, env)
-                each = []
-                made = F.transform(items.column, lambda x: self._noted(each, self.many(body, v, env | self.bound(patterns[0], of_column(x, element(items)), env))))
-                return Val(F.flatten(made), each[0])
+                kinds: list = []
+                made = each(F.transform, items.column, lambda x: self._noted(kinds, self.many(body, v, env | self.bound(patterns[0], of_column(x, element(items)), env))))
+                return Val(F.flatten(made), kinds[0])
             case A.If(test, a, b) if self.is_many(a, env) or self.is_many(b, env):
-                x, y = self.many(a, v, env), self.many(b, v, env)
+                with guarded():
+                    x, y = self.many(a, v, env), self.many(b, v, env)
                 t = T.ArrayType(common_type([Val(None, element(x)), Val(None, element(y))]))
                 return Val(F.when(truthy(self.one(test, v, env)), x.column.cast(t)).otherwise(y.column.cast(t)), t)
             case A.Define(name, params, body, rest):
@@ -672,7 +745,8 @@ class Columns:
             raise LoweringError("this foreach has no aggregate form")
         t = DOUBLE if start.kind == "number" else start.type
         bound = lambda x: env | {f"${name}": of_column(x, element(items))}
-        sample = self.one(extract, Val(F.lit(None).cast(t), t), bound(F.lit(None).cast(element(items)))).to_type()
+        with collecting():  # for the type alone
+            sample = self.one(extract, Val(F.lit(None).cast(t), t), bound(F.lit(None).cast(element(items)))).to_type()
 
         def step(acc: Column, x: Column) -> Column:
             state = cast(self.one(update, Val(acc["s"], t), bound(x)), t)
@@ -680,23 +754,23 @@ class Columns:
             return F.struct(state.alias("s"), F.concat(acc["o"], F.array(out)).alias("o"))
 
         empty = F.struct(cast(start, t).alias("s"), F.array().cast(T.ArrayType(sample)).alias("o"))
-        return Val(F.aggregate(items.column, empty, step, lambda acc: acc["o"]), T.ArrayType(sample))
+        return Val(fold(items.column, empty, step, lambda acc: acc["o"]), T.ArrayType(sample))
 
     @staticmethod
     def _noted(types: list, v: Val) -> Column:
         types.append(v.type)
         return v.column
 
-    def each(self, items: Val, f: A.Node, env: dict) -> Val:
+    def mapped(self, items: Val, f: A.Node, env: dict) -> Val:
         """All outputs of f for every item."""
         t = element(items)
         if isinstance(f, A.Call) and f.name == "select" and len(f.args) == 1:
-            return Val(F.filter(items.column, lambda x: truthy(self.one(f.args[0], of_column(x, t), env))), items.type)
+            return Val(each(F.filter, items.column, lambda x: truthy(self.one(f.args[0], of_column(x, t), env))), items.type)
         if isinstance(f, A.Pipe) and self.is_many(f, env):
-            return self.each(self.each(items, f.left, env), f.right, env)
+            return self.mapped(self.mapped(items, f.left, env), f.right, env)
         types: list = []
         if self.is_many(f, env):
-            made = F.transform(items.column, lambda x: self._noted(types, self.many(f, of_column(x, t), env)))
+            made = each(F.transform, items.column, lambda x: self._noted(types, self.many(f, of_column(x, t), env)))
             return Val(F.flatten(made), types[0])
 
         def single(x: Column) -> Column:
@@ -704,7 +778,7 @@ class Columns:
             types.append(T.ArrayType(out.to_type()))
             return out.to_column()
 
-        made = F.transform(items.column, single)
+        made = each(F.transform, items.column, single)
         return Val(made, types[0])
 
     def is_many(self, node: A.Node, env: dict) -> bool:
@@ -735,6 +809,21 @@ class Columns:
         return any(self.is_many(c, env) for c in node.children())
 
 
+def java_pattern(pattern: str) -> str:
+    """The expression, if Spark can compile it: a bad one is refused while planning instead of ending the job."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark import SparkContext
+    from pyspark.errors import IllegalArgumentException
+
+    context = SparkContext._active_spark_context
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(pattern)
+        except (Py4JJavaError, IllegalArgumentException):
+            raise LoweringError(f"{pattern} is no regular expression here") from None
+    return pattern
+
+
 def _has_fractions(t: T.DataType) -> bool:
     if isinstance(t, T.StructType):
         return any(_has_fractions(f.dataType) for f in t.fields)

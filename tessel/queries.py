@@ -53,8 +53,8 @@ PROGRAMS: dict[str, tuple[str, str]] = {
         "SELECT vec_id AS i, len(list_filter(embedding, lambda x: x > 0.25)) > 0 AS a, len(list_filter(embedding, lambda x: x > -0.25)) = len(embedding) AS b FROM embeddings",
     ),
     "group_sum": (
-        "lineitem | group_by(.l_returnflag) | map({f: .[0].l_returnflag, s: (map(.l_quantity) | add), n: length, m: (map(.l_extendedprice * (1 - .l_discount)) | add)})",
-        "SELECT l_returnflag AS f, sum(l_quantity::DECIMAL(18,4))::DOUBLE AS s, count(*) AS n, sum((l_extendedprice * (1 - l_discount))::DECIMAL(18,4))::DOUBLE AS m FROM lineitem GROUP BY 1",
+        "lineitem | group_by(.l_returnflag) | map({f: .[0].l_returnflag, s: (map(.l_quantity) | add), n: length, m: (map(.l_extendedprice * (1 - .l_discount)) | add | round)})",
+        "SELECT l_returnflag AS f, sum(l_quantity) AS s, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount))) AS m FROM lineitem GROUP BY 1",
     ),
     "group_stats": (
         "orders | group_by(.o_orderpriority) | map({p: .[0].o_orderpriority, lo: (map(.o_totalprice) | min), hi: (map(.o_totalprice) | max), big: (map(select(.o_totalprice > 150000)) | length), customers: (map(.o_custkey) | unique | length), any_f: any(.o_orderstatus == \"F\"), all_pos: all(.o_totalprice > 0)})",
@@ -87,8 +87,8 @@ PROGRAMS: dict[str, tuple[str, str]] = {
         "SELECT n_name AS nation, o_orderkey AS k FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 100000",
     ),
     "join_group": (
-        "[customer[] as $c | orders[] as $o | select($c.c_custkey == $o.o_custkey) | {s: $c.c_mktsegment, p: $o.o_totalprice}] | group_by(.s) | map({s: .[0].s, t: (map(.p) | add), n: length})",
-        "SELECT c_mktsegment AS s, sum(o_totalprice::DECIMAL(18,4))::DOUBLE AS t, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1",
+        "[customer[] as $c | orders[] as $o | select($c.c_custkey == $o.o_custkey) | {s: $c.c_mktsegment, p: $o.o_totalprice}] | group_by(.s) | map({s: .[0].s, t: (map(.p) | add | round), n: length})",
+        "SELECT c_mktsegment AS s, round(sum(o_totalprice)) AS t, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1",
     ),
     "semi_any": (
         "customer[] | .c_custkey as $c | select(any(orders[]; .o_custkey == $c)) | {c: $c}",
@@ -158,6 +158,104 @@ PROGRAMS: dict[str, tuple[str, str]] = {
     "date_text": ("orders[] | {k: .o_orderkey, y: (.o_orderdate | .[0:4]), m: (.o_orderdate | split(\"-\") | .[1] | tonumber)}", "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y') AS y, month(o_orderdate)::DOUBLE AS m FROM orders"),
     "null_arith": ("customer[] | {k: .c_custkey, a: (null + .c_acctbal), b: ((if .c_acctbal < 0 then .c_acctbal else null end) + 1)}", "SELECT c_custkey AS k, c_acctbal AS a, coalesce(CASE WHEN c_acctbal < 0 THEN c_acctbal END, 0) + 1 AS b FROM customer"),
     "array_cycle": ("region[] | {k: .r_regionkey, a: ([1, 2, 3] * 5 | add), b: ([1, 2, 2, 3] - [2] | length)}", "SELECT r_regionkey AS k, 9::BIGINT AS a, 2::BIGINT AS b FROM region"),
+    # -- parts of tables, folds and windows
+    "limit_rows": (
+        "limit(7; (orders | sort_by(.o_totalprice, .o_orderkey))[]) | {k: .o_orderkey}",
+        "SELECT o_orderkey AS k FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 7",
+    ),
+    "slice_rows": ("(orders | sort_by(.o_orderkey))[3:9] | map({k: .o_orderkey, p: .o_totalprice})", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders ORDER BY o_orderkey LIMIT 6 OFFSET 3"),
+    "nth_row": ("nth(4; (orders | sort_by(.o_totalprice, .o_orderkey))[]) | {k: .o_orderkey}", "SELECT o_orderkey AS k FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1 OFFSET 4"),
+    "reduce_rows": (
+        "reduce (lineitem[] | select(.l_discount > 0.04)) as $l (1000; . + $l.l_quantity)",
+        "SELECT 1000 + sum(l_quantity) AS value FROM lineitem WHERE l_discount > 0.04",
+    ),
+    "reduce_extremes": (
+        "reduce orders[] as $o (null; if $o.o_totalprice > . then $o.o_totalprice else . end)",
+        "SELECT max(o_totalprice) AS value FROM orders",
+    ),
+    "running_in_groups": (
+        "orders | group_by(.o_custkey) | map(sort_by(.o_orderkey) | foreach .[] as $o (0; . + $o.o_orderkey; {k: $o.o_orderkey, s: .}))",
+        "SELECT o_orderkey AS k, (sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::BIGINT AS s FROM orders",
+    ),
+    "running_rows": (
+        "foreach (nation | sort_by(.n_name))[] as $n (0; . + $n.n_nationkey; {n: $n.n_name, s: .})",
+        "SELECT n_name AS n, (sum(n_nationkey) OVER (ORDER BY n_name))::BIGINT AS s FROM nation",
+    ),
+    "neighbor_events": (
+        "events | group_by(.user_id) | map(sort_by(.event_id) as $e | range(($e | length) - 1) as $i | {id: $e[$i].event_id, gap: ($e[$i + 1].event_id - $e[$i].event_id), same: ($e[$i + 1].event_type == $e[$i].event_type)})",
+        "SELECT * FROM (SELECT event_id AS id, lead(event_id) OVER w - event_id AS gap, lead(event_type) OVER w = event_type AS same FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE gap IS NOT NULL",
+    ),
+    "flatten_rows": ("embeddings | map(.embedding[0:3]) | flatten", "SELECT unnest(embedding[1:3]) AS value FROM embeddings"),
+    "entries_of_rows": ("nation | sort_by(.n_name) | to_entries | map({i: .key, n: .value.n_name})", "SELECT row_number() OVER (ORDER BY n_name) - 1 AS i, n_name AS n FROM nation"),
+    "group_lists": (
+        'orders | sort_by(.o_orderkey) | group_by(.o_custkey) | map({c: .[0].o_custkey, ks: (map(.o_orderkey | tostring) | join(","))})',
+        "SELECT o_custkey AS c, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS ks FROM orders GROUP BY 1",
+    ),
+    "groups_one_by_one": ("part | group_by(.p_brand)[] | {b: .[0].p_brand, n: length}", "SELECT p_brand AS b, count(*) AS n FROM part GROUP BY 1"),
+    # -- joins with aggregates and by nearness
+    "aggregate_beside": (
+        "customer[] as $c | {c: $c.c_custkey, n: ([orders[] | select(.o_custkey == $c.c_custkey and .o_totalprice > 150000)] | length), last: ([orders[] | select(.o_custkey == $c.c_custkey) | .o_orderkey] | max)}",
+        "SELECT c_custkey AS c, count(o_orderkey) FILTER (o_totalprice > 150000) AS n, max(o_orderkey) AS last FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
+    ),
+    "as_of": (
+        "events[] as $e | {id: $e.event_id, o: ([orders[] | select(.o_custkey == $e.user_id and .o_orderkey <= $e.event_id)] | max_by(.o_orderkey) | .o_orderkey)}",
+        "SELECT event_id AS id, max(o_orderkey) AS o FROM events LEFT JOIN orders ON o_custkey = user_id AND o_orderkey <= event_id GROUP BY 1",
+    ),
+    "as_of_next": (
+        "orders[] as $o | {k: $o.o_orderkey, next: ([orders[] | select(.o_custkey == $o.o_custkey and .o_orderkey > $o.o_orderkey)] | min_by(.o_orderkey) | .o_orderkey)}",
+        "SELECT o_orderkey AS k, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next FROM orders",
+    ),
+    "anti_some": (
+        "customer[] | .c_custkey as $c | select(any(orders[]; .o_custkey == $c and .o_totalprice > 300000) | not) | {c: $c}",
+        "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
+    ),
+    "difference_some": (
+        "(customer | map(.c_custkey)) - ([orders[] | select(.o_totalprice > 300000) | .o_custkey])",
+        "SELECT c_custkey AS value FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
+    ),
+    # -- values of rows
+    "type_of_some": (
+        "orders[] | {k: .o_orderkey, t: ((if .o_orderkey % 3 == 0 then null else .o_totalprice end) | type), e: (((if .o_orderkey % 5 == 0 then null else .o_orderkey end) > 7) | type)}",
+        "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE 'number' END AS t, 'boolean' AS e FROM orders",
+    ),
+    "range_of_rows": ("nation[] | .n_nationkey as $k | range(.n_regionkey; .n_nationkey) | {k: $k, i: .}", "SELECT n_nationkey AS k, unnest(range(n_regionkey, n_nationkey)) AS i FROM nation"),
+    "cycles_of_rows": (
+        "nation[] | {k: .n_nationkey, a: ([1, 2, 3] * .n_regionkey | length), b: ([.n_regionkey, 1, 2] - [2] | length), c: (\"ab\" * .n_regionkey | length)}",
+        "SELECT n_nationkey AS k, n_regionkey::BIGINT AS a, CASE WHEN n_regionkey = 2 THEN 1 ELSE 2 END::BIGINT AS b, 2 * n_regionkey::BIGINT AS c FROM nation",
+    ),
+    "maths_of_rows": (
+        "part[] | {k: .p_partkey, a: (.p_retailprice | logb), b: (.p_retailprice | significand), c: (.p_size | negate), d: (.p_size % 5 | pow10), e: scalb(.p_retailprice; 3), f: (.p_retailprice | isnormal), g: ((.p_size - .p_size) / 0 | isnan), h: (.p_size / 0 | isfinite), i: (infinite > .p_size), j: (nan < .p_size)}",
+        "SELECT p_partkey AS k, floor(log2(p_retailprice)) AS a, p_retailprice / pow(2, floor(log2(p_retailprice))) AS b, -p_size AS c, pow(10, p_size % 5) AS d, p_retailprice * 8 AS e, true AS f, true AS g, p_size = 0 AND false AS h, true AS i, true AS j FROM part",
+    ),
+    "is_kind": (
+        "orders[] | (if .o_orderkey % 2 == 0 then null else .o_orderkey end) as $x | {k: .o_orderkey, a: ($x | isnumber), b: ($x | isnull), c: (.o_orderstatus | isstring), d: ($x == null | isboolean), e: ([$x] | isarray), f: ({x: $x} | isobject)}",
+        "SELECT o_orderkey AS k, o_orderkey % 2 <> 0 AS a, o_orderkey % 2 = 0 AS b, true AS c, true AS d, true AS e, true AS f FROM orders",
+    ),
+    "filters_by_kind": (
+        "orders[] | .o_orderkey as $k | [(if $k % 2 == 0 then null else $k end), $k] | {k: $k, a: (map(values) | length), b: (map(nulls) | length), c: (map(numbers) | length), d: (map(scalars) | length), e: (map(strings) | length)}",
+        "SELECT o_orderkey AS k, 2 - (o_orderkey % 2 = 0)::BIGINT AS a, (o_orderkey % 2 = 0)::BIGINT AS b, 2 - (o_orderkey % 2 = 0)::BIGINT AS c, 2::BIGINT AS d, 0::BIGINT AS e FROM orders",
+    ),
+    "strings_of_rows": (
+        'orders[] | {k: .o_orderkey, a: (.o_orderpriority | split("-"; null) | length), b: ([.o_orderpriority | scan("[A-Z]")] | length), c: ([.o_orderpriority | splits("-")] | .[0]), d: (.o_orderpriority | @base64), e: (.o_orderpriority | @uri), f: (.o_orderpriority | @json), g: (.o_orderkey | @text), h: (.o_orderpriority | explode | .[0])}',
+        "SELECT o_orderkey AS k, len(string_split(o_orderpriority, '-'))::BIGINT AS a, length(regexp_replace(o_orderpriority, '[^A-Z]', '', 'g')) AS b, string_split(o_orderpriority, '-')[1] AS c, base64(encode(o_orderpriority)) AS d, url_encode(o_orderpriority) AS e, '\"' || o_orderpriority || '\"' AS f, o_orderkey::VARCHAR AS g, ascii(o_orderpriority)::BIGINT AS h FROM orders",
+    ),
+    "assigned": (
+        "nation[] | (.n_regionkey += 10) | (.n_name |= ascii_downcase) | (.extra = .n_nationkey * 2) | del(.n_nationkey) | {r: .n_regionkey, n: .n_name, x: .extra, ks: (keys | length)}",
+        "SELECT n_regionkey::BIGINT + 10 AS r, lower(n_name) AS n, n_nationkey::BIGINT * 2 AS x, 3::BIGINT AS ks FROM nation",
+    ),
+    "destructured": (
+        "embeddings[] | . as {vec_id: $i, embedding: [$a, $b]} | {i: $i, a: $a, b: $b}",
+        "SELECT vec_id AS i, embedding[1] AS a, embedding[2] AS b FROM embeddings",
+    ),
+    "arrays_of_rows": (
+        "nation[] | [.n_nationkey, .n_regionkey] as $p | {k: .n_nationkey, a: ([$p, [1, 2]] | transpose | .[1] | add), b: ([$p, [7]] | flatten | length), c: ($p | to_entries | map(.key + .value) | add), d: ([$p[] | select(. > 3)] | length), e: (isempty($p[] | select(. > 3))), f: ($p | first), g: ($p | del(.[0]) | .[0]), h: (first($p[] | select(. > 3)) // -1), i: ([limit(1; $p[])] | length), j: ($p | has(1)), l: ({a: $p[0]} | map_values(. + 1) | .a)}",
+        "SELECT n_nationkey AS k, n_regionkey::BIGINT + 2 AS a, 3::BIGINT AS b, n_nationkey::BIGINT + n_regionkey + 1 AS c, (n_nationkey > 3)::BIGINT + (n_regionkey > 3)::BIGINT AS d, NOT (n_nationkey > 3 OR n_regionkey > 3) AS e, n_nationkey AS f, n_regionkey AS g, CASE WHEN n_nationkey > 3 THEN n_nationkey WHEN n_regionkey > 3 THEN n_regionkey ELSE -1 END AS h, 1::BIGINT AS i, true AS j, n_nationkey::BIGINT + 1 AS l FROM nation",
+    ),
+    "dates_of_rows": (
+        "orders[] | {k: .o_orderkey, a: (.o_orderkey * 86400 | todate), b: (.o_orderkey * 1000 | todate | fromdate)}",
+        "SELECT o_orderkey AS k, strftime(make_timestamp(o_orderkey * 86400 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS a, o_orderkey * 1000 AS b FROM orders",
+    ),
+    "empty_rows": ("orders[] | if .o_orderkey % 4 == 0 then .o_orderkey else empty end", "SELECT o_orderkey AS value FROM orders WHERE o_orderkey % 4 = 0"),
 }
 
 
@@ -165,7 +263,7 @@ def _over_tables(name: str) -> Callable[[SparkSession, str], DataFrame]:
     program = compile(PROGRAMS[name][0])
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return program.over(parquet_tables(spark, sf_dir, list(TABLES)), exact_sums=True)
+        return program.over(parquet_tables(spark, sf_dir, list(TABLES)))
 
     return run
 
@@ -186,6 +284,92 @@ def collatz_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compile(COLLATZ.replace(" % 30", "")).run(orders, keys=["o_orderkey"]).select("o_orderkey", F.col("value").cast("double").alias("steps"))
 
 
+#: name: (program per row of orders, SQL of key, value as text, code and message); rows that fail give errors in every tier.
+ERRORS: dict[str, tuple[str, str]] = {
+    "errors_of_arithmetic": (
+        "(if .o_orderkey % 3 == 0 then null else .o_orderkey end) * 2 | tostring",
+        "SELECT o_orderkey AS k, (o_orderkey * 2)::VARCHAR AS value, NULL AS code, NULL AS message FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, NULL, 'operands', 'null and 2 cannot be multiplied' FROM orders WHERE o_orderkey % 3 = 0",
+    ),
+    "errors_of_numbers": (
+        '(if .o_orderkey % 2 == 0 then "7.5" else .o_orderstatus end) | tonumber | . * 2 | tostring',
+        "SELECT o_orderkey AS k, '15' AS value, NULL AS code, NULL AS message FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, NULL, 'argument', '\"' || o_orderstatus || '\" cannot be parsed as a number' FROM orders WHERE o_orderkey % 2 <> 0",
+    ),
+    "errors_of_dates": (
+        '(if .o_orderkey % 2 == 0 then "1970-01-02T00:00:00Z" else .o_orderpriority end) | fromdate | tostring',
+        "SELECT o_orderkey AS k, '86400' AS value, NULL AS code, NULL AS message FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, NULL, 'argument', 'date \"' || o_orderpriority || '\" does not match format %Y-%m-%dT%H:%M:%SZ' FROM orders WHERE o_orderkey % 2 <> 0",
+    ),
+    "errors_behind_conditions": (
+        "if .o_orderkey % 3 == 0 then (.o_orderstatus | tonumber | tostring) else (.o_custkey | tostring) end",
+        "SELECT o_orderkey AS k, o_custkey::VARCHAR AS value, NULL AS code, NULL AS message FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, NULL, 'argument', '\"' || o_orderstatus || '\" cannot be parsed as a number' FROM orders WHERE o_orderkey % 3 = 0",
+    ),
+    "errors_beside_outputs": (
+        "(.o_custkey | tostring), ((if .o_orderkey % 2 == 0 then null else .o_orderkey end) - 1 | tostring)",
+        "SELECT o_orderkey AS k, o_custkey::VARCHAR AS value, NULL AS code, NULL AS message FROM orders UNION ALL SELECT o_orderkey, (o_orderkey - 1)::VARCHAR, NULL, NULL FROM orders WHERE o_orderkey % 2 <> 0 UNION ALL SELECT o_orderkey, NULL, 'operands', 'null and 1 cannot be subtracted' FROM orders WHERE o_orderkey % 2 = 0",
+    ),
+    "errors_caught": (
+        '((.o_orderstatus | tonumber)? // -1) | tostring',
+        "SELECT o_orderkey AS k, '-1' AS value, NULL AS code, NULL AS message FROM orders",
+    ),
+    "errors_raised": (
+        'if .o_orderkey % 5 == 0 then error("bad " + .o_orderstatus) elif .o_orderkey % 5 == 1 then try error("x") catch "caught \\(.)" else .o_orderstatus end',
+        "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN '\"caught x\"' ELSE '\"' || o_orderstatus || '\"' END AS value, CASE WHEN o_orderkey % 5 = 0 THEN 'error' END AS code, CASE WHEN o_orderkey % 5 = 0 THEN 'bad ' || o_orderstatus END AS message FROM orders",
+    ),
+}
+
+
+def _with_errors(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    program = compile(ERRORS[name][0])
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+        return program.run(orders, keys=["o_orderkey"]).select(F.col("o_orderkey").alias("k"), "value", "error.code", "error.message")
+
+    return run
+
+
+#: name: (program per row of nation in the interpreter, SQL expression of its output as JSON text with n for n_nationkey and r for n_regionkey).
+INTERPRETED: dict[str, tuple[str, str]] = {
+    "recurse_f": ("[.n_nationkey | recurse(if . < 50 then . * 2 + 1 else empty end)] | length", "CASE WHEN n >= 50 THEN 1 ELSE 2 + floor(log2(49.5 / (n + 1)) + 1e-9)::INT + (CASE WHEN (n + 1) * pow(2, 1 + floor(log2(49.5 / (n + 1)) + 1e-9)) - 1 < 50 THEN 1 ELSE 0 END) END"),
+    "recurse_all": ("[{a: [.n_nationkey, {b: .n_regionkey}]} | .. | numbers] | tojson", "'\"[' || n || ',' || r || ']\"'"),
+    "while_loop": ("[.n_regionkey | while(. < 5; . + 1)] | add // 0", "(SELECT coalesce(sum(i), 0)::INT FROM range(r, 5) t(i))"),
+    "until_loop": (".n_nationkey | until(. > 100; . + 7)", "n + 7 * ((100 - n) // 7 + 1)"),
+    "repeat_limit": ("[.n_regionkey | limit(4; repeat(. + 3))] | add", "4 * r + 18"),
+    "label_break": ("[label $out | range(.n_nationkey + 1) | if . > 5 then ., break $out else . end] | length", "least(n + 1, 7)"),
+    "alternative_patterns": ('(if .n_regionkey % 2 == 0 then [.n_nationkey, 1] else {a: .n_nationkey} end) as [$x] ?// {a: $x} | $x', "n"),
+    "match_offset": ('.n_name | match("_?([0-9]+)") | [.offset, .string, .captures[0].string] | tojson', "NULL"),
+    "dynamic_paths": ('{x: {}} | .x["k\\(1 + 1)"] = 5 | .x.k2', "5"),
+    "foreach_extract": ("[foreach range(.n_nationkey) as $i (0; . + $i; [$i, .])] | length", "n"),
+    "with_entries": ("{a: .n_nationkey, b: .n_regionkey} | with_entries(.value += 1) | .a + .b", "n + r + 2"),
+    "next_toward": ("nexttoward(.n_nationkey; 100) > .n_nationkey", "true"),
+    "gamma_of": (".n_regionkey + 1 | gamma | round", "CASE r WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 6 ELSE 24 END"),
+    "format_row": ('[.n_nationkey, null, "x"] | map(fmt_row("-"; "s")) | join(" ")', "'\"' || n || ' - s\"'"),
+    "walked": ("[[.n_nationkey], .n_regionkey] | walk(if type == \"number\" then . + 1 else . end) | flatten | add", "n + r + 2"),
+    "paths_of": ("[{a: [.n_nationkey, 2], b: {c: null}} | paths] | length", "5"),
+    "hole_part": ("try (1 | ??) catch \"hole\"", "NULL"),
+}
+
+
+def interpreted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What only the interpreter runs, one program after the other over all nations: name, key and output."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
+    every = ", ".join(f"([{p}] | tojson)" for p, sql in INTERPRETED.values() if sql != "NULL")
+    names = F.array(*[F.lit(n) for n, (_, sql) in INTERPRETED.items() if sql != "NULL"])
+    out = compile(every).run(nations, keys=["n_nationkey"], tier="interpreter")
+    return out.select(F.get(names, F.col("ord")).alias("name"), "n_nationkey", F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v").alias("output"), F.col("error.message").alias("failed"))
+
+
+INTERPRETED_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS name, n AS n_nationkey, '[' || ({sql})::VARCHAR || ']' AS output, NULL AS failed FROM (SELECT n_nationkey AS n, n_regionkey AS r FROM nation)" for name, (_, sql) in INTERPRETED.items() if sql != "NULL"
+)
+
+
+def shape_partly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which a third have text where a number is needed, and some are no JSON."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    made = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"k": "'), F.col("event_type"), F.lit('"}'))).when(F.col("event_id") % 7 == 0, F.lit('{"k": ')).otherwise(F.col("props"))
+    return compile(".k - 1").check(events.select("event_id", made.alias("props")), keys=["event_id"], json="props").select("event_id", "path", "expected", "got")
+
+
 def neighbor_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences between neighbours of an array, with indexes from a range."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
@@ -230,11 +414,37 @@ def schema_infer_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def infer_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What both methods infer for a few programs."""
-    texts = (".[] | .age, .name | {v: .a}", "1 - .a", "map(. * 2)", ". + 1", "if . != 5 then 1 else error end", ".a | .b")
+    texts = (".[] | .price, .tag | {v: .net}", "1 - .a", "map(. * 2)", ". + 1", "if . != 5 then 1 else error end", ".a | .b")
     rows = [(t, m, str(i), ", ".join(map(str, o))) for t in texts for m in ("direct", "constraint") for i, o in [compile(t).infer(m)]]
     return spark.createDataFrame(rows, "program string, method string, input string, outputs string")
 
 
+def shape_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operations on shapes, each on small operands: name and result."""
+    from .lang import parse
+    from .shapes.algebra import BOOL, NULL, NUMBER, STRING, Arr, Neg, Obj, Tup, Union, canonical, disjoint, literal, subtype, to_ddl, widened
+    from .shapes.check import check, ill_typed
+    from .shapes.constraint import ConstraintInference, constant
+    from .shapes.direct import DirectInference
+
+    a, ab = Obj((("a", NUMBER),)), Obj((("a", NUMBER), ("b", STRING)))
+    merged = DirectInference().merged
+    rows = [
+        ("literal", f"{literal(1.0)} {literal('x')} {literal(None)} {literal([1.0])} {literal({'k': True})}"),
+        ("subtype", [subtype(x, y) for x, y in ((NUMBER, Union(NUMBER, NULL)), (Union(NUMBER, NULL), NUMBER), (literal(2.0), NUMBER), (ab, a), (a, ab), (Tup((NUMBER, NUMBER)), Arr(NUMBER)))]),
+        ("disjoint", [disjoint(x, y) for x, y in ((NUMBER, STRING), (NUMBER, literal(1.0)), (literal(1.0), literal(2.0)), (Neg(NUMBER), NUMBER))]),
+        ("merge", f"{merged(a, Obj((('b', STRING),)))} {merged(literal(1.0), NUMBER)} {merged(Union(NUMBER, NULL), NUMBER)} {merged(Arr(NUMBER), Tup((literal(1.0),)))}"),
+        ("clash", f"{ill_typed(merged(NUMBER, STRING)) is not None} {ill_typed(a) is not None}"),
+        ("canonical", f"{canonical(Union(literal(True), literal(False)))} {canonical(Union(literal(1.0), NUMBER))} {canonical(Neg(Neg(STRING)))}"),
+        ("widened", f"{widened(literal(1.0), literal(2.0))} {widened(NUMBER, STRING)} {widened(ab, Obj((('a', literal(1.0)), ('c', BOOL))))}"),
+        ("constant", [constant(parse(p)) for p in ("1 + 2", ".a + 1", "[1 + 2]", "{k: .x}", "if true then 1 else 2 end")]),
+        ("solved", [str(ConstraintInference().infer(p)[0]) for p in (".a + 1 | . - 2", "if . == 1 then . else error end", ".a.b")]),
+        ("check", [str(check(DirectInference().infer(p)[0], v)) for p, v in ((". + 1", "x"), ("1 - .a", {"a": 2.0}), ("map(. * 2)", ["q", True]), (".[] | .price, .tag | {v: .net}", [{"tag": {"net": 1.0}, "price": 25.0}]))]),
+        ("read_schema", f"{to_ddl(ab)} {to_ddl(Union(NUMBER, NULL))} {to_ddl(Union(NUMBER, STRING))} {to_ddl(Arr(a))}"),
+    ]
+    return spark.createDataFrame([(name, found if isinstance(found, str) else ", ".join(str(x).lower() if isinstance(x, bool) else x for x in found)) for name, found in rows], "name string, result string")
+
+
 def builtin_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return function_catalogue(spark)
 
@@ -265,15 +475,37 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "shape_check_events": (shape_check_events, "SELECT event_id, '.k' AS path, '(<string> | <null>)' AS expected, props->>'$.k' AS got FROM events"),
     "shape_check_rows": (shape_check_rows, "SELECT o_orderkey, '.o_totalprice' AS path, '<string>' AS expected FROM orders"),
     "shape_clean": (shape_clean, "SELECT event_id, '' AS path, '' AS expected, '' AS got FROM events WHERE props IS NULL"),
+    "shape_partly": (
+        shape_partly,
+        """SELECT event_id, '.k' AS path, '<number>' AS expected, '"' || event_type || '"' AS got FROM events WHERE event_id % 3 = 0
+           UNION ALL SELECT event_id, '.', '{k: <number>}', '{"k": ' FROM events WHERE event_id % 3 <> 0 AND event_id % 7 = 0""",
+    ),
+    "interpreted": (interpreted, INTERPRETED_SQL),
     "schema_infer_agg": (schema_infer_agg, "SELECT 'OBJECT<k: BIGINT>' AS type"),
-    "infer_shapes": (infer_shapes, None),
+    "infer_shapes": (
+        infer_shapes,
+        """SELECT program, method, input, outputs FROM (VALUES
+             ('.[] | .price, .tag | {v: .net}', '[{price: {net: <T4>}, tag: {net: <T5>}}]', '{v: <T4>}, {v: <T5>}'), ('1 - .a', '{a: <number>}', '<number>'),
+             ('map(. * 2)', '[(<number> | <string>)]', '[(<number> | <string>)]'), ('. + 1', '(<number> | <null>)', '<number>'),
+             ('if . != 5 then 1 else error end', '(!5)', '1'), ('.a | .b', '{a: {b: <T2>}}', '<T2>')) t(program, input, outputs), (VALUES ('direct'), ('constraint')) m(method)""",
+    ),
+    "shape_algebra": (
+        shape_algebra,
+        """SELECT name, result FROM (VALUES
+             ('literal', '1 "x" <null> [1] {k: true}'), ('subtype', 'true, false, true, true, false, true'), ('disjoint', 'true, false, true, true'),
+             ('merge', '{a: <number>, b: <string>} 1 <number> [1]'), ('clash', 'True False'), ('canonical', '<bool> <number> <string>'),
+             ('widened', '<number> (<number> | <string>) {a: <number>}'), ('constant', 'true, false, true, false, true'),
+             ('solved', '{a: (<number> | <null>)}, 1, {a: {b: <T2>}}'),
+             ('check', 'at ., expected (<number> | <null>), got "x", None, at [1], expected (<number> | <string>), got true, at [0].price, expected {net: <>}, got 25'),
+             ('read_schema', 'STRUCT<`a`: DOUBLE, `b`: STRING> DOUBLE VARIANT ARRAY<STRUCT<`a`: DOUBLE>>')) t(name, result)""",
+    ),
     "builtin_catalogue": (builtin_catalogue, None),
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _over_tables(name) for name in PROGRAMS} | {name: f for name, (f, _) in OTHERS.items()}
-ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in PROGRAMS.items()} | {name: sql for name, (_, sql) in OTHERS.items() if sql}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _over_tables(name) for name in PROGRAMS} | {name: _with_errors(name) for name in ERRORS} | {name: f for name, (f, _) in OTHERS.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in (PROGRAMS | ERRORS).items()} | {name: sql for name, (_, sql) in OTHERS.items() if sql}
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    """Clicks with a large property, joined to how often their user appears."""
+    """Clicks with a large property."""
     return QUERIES["json_filter"](spark, "/root/testdata/sf0.001")
