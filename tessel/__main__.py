@@ -32,17 +32,16 @@ def main(argv: list[str] | None = None) -> int:
         print(f"error: {e}", file=sys.stderr)
         return 2
     for out in compiled.values(value):
-        print(f"jq: error (at <unknown>): {out.message}" if isinstance(out, Failure) else to_json(out))
+        print(f"failed: {out.message}" if isinstance(out, Failure) else to_json(out))
     given, outputs = compiled.infer(a.inference)
     if a.verbose:
         print(f"{given} -> {', '.join(map(str, outputs)) or 'nothing'}")
     clash = next((c for s in (given, *outputs) if (c := ill_typed(s))), None)
     if clash:
-        print(f"[x] the program is not well typed: {render(clash.found, False)} where {render(clash.needed, False)} is needed")
+        print(f"ill typed: {render(clash.found, False)} where {render(clash.needed, False)} is needed")
         return 1
-    print("[✓] the program is well typed.")
     mismatch = check(given, value)
-    print(mismatch or "[✓] the input conforms to the inferred shape.")
+    print(f"the document doesn't fit: {mismatch}" if mismatch else "well typed, and the document fits")
     return int(mismatch is not None)
 
 

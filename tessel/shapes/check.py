@@ -23,7 +23,7 @@ class Mismatch:
     got: str
 
     def __str__(self) -> str:
-        return f"[x] shape mismatch detected!\n\tat {self.path}\n\tExpected: {self.expected}\n\tGot: {self.got}"
+        return f"at {self.path}, expected {self.expected}, got {self.got}"
 
 
 def _fails(shape: Shape, v: Any, path: str) -> Mismatch | None:
