@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lang import ast as A
-from .lang import parse
+from .lang.modules import Library, parse_with_modules
 from .operators.documents import ERROR, document_text, run_documents, run_json, spread, with_interpreted
 from .operators.shape_ops import check_json, check_rows
 from .plans.columns import Columns, LoweringError, of_column
@@ -52,11 +54,11 @@ class Program:
         return check_json(df, self.infer()[0], json, keys) if json else check_rows(df, self.infer()[0], keys, [c for c in df.columns])
 
     # -- evaluation
-    def values(self, value: Any, variables: dict | None = None) -> list[Any]:
-        """All outputs for one value: values and Failures."""
+    def values(self, value: Any, variables: dict | None = None, inputs: Iterable[Any] | None = None) -> list[Any]:
+        """All outputs for one value: values and Failures. inputs are the values that input and inputs go on to."""
         from .plans.interpreter import run_program
 
-        return run_program(self.node, value, variables)
+        return run_program(self.node, value, variables, inputs)
 
     def plan(self, df: DataFrame, json: str | None = None) -> str:
         """The tier that run takes: typed, json, or interpreter."""
@@ -136,9 +138,12 @@ def _keys(df: DataFrame, keys: list[str] | None, json: str | None) -> list[str]:
     return keys if keys is not None else [c for c in df.columns if c != json] if json else []
 
 
-def compile(text: str) -> Program:  # noqa: A001
-    """Parse a program. Raises lang.ParseError; other faults show when it is used."""
-    return Program(text, parse(text))
+def compile(text: str, *, modules: Mapping[str, str] | str | Path | None = None) -> Program:  # noqa: A001
+    """Parse a program. Raises lang.ParseError; other faults show when it is used.
+
+    modules is a folder with modules as .jq files, or their texts by path.
+    """
+    return Program(text, parse_with_modules(text, Library(modules)))
 
 
 __all__ = ["Program", "compile"]

@@ -52,6 +52,13 @@ def base64d(v: Any) -> str:
         raise Failure("format", f"{show(v)} is not valid base64 data") from None
 
 
+def base32d(v: Any) -> str:
+    try:
+        return base64.b32decode(tostring(v)).decode("utf-8", "replace")
+    except (binascii.Error, ValueError):
+        raise Failure("format", f"{show(v)} is not valid base32 data") from None
+
+
 FORMATS = {
     "@text": tostring,
     "@json": to_json,
@@ -62,4 +69,6 @@ FORMATS = {
     "@sh": sh,
     "@base64": lambda v: base64.b64encode(tostring(v).encode()).decode(),
     "@base64d": base64d,
+    "@base32": lambda v: base64.b32encode(tostring(v).encode()).decode(),
+    "@base32d": base32d,
 }
