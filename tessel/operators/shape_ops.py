@@ -11,8 +11,9 @@ from ..shapes.check import check_column
 
 
 def _report(df: DataFrame, mismatch, keys: list[str]) -> DataFrame:
-    found = df.select(*[F.col(f"`{k}`") for k in keys], mismatch.alias("_m")).where(F.col("_m").isNotNull())
-    return found.select(*keys, F.col("_m.path").alias("path"), F.col("_m.expected").alias("expected"), F.col("_m.got").alias("got"))
+    """Rows with a mismatch. As a generator's rows they are computed once; a where and a select would each check the document."""
+    found = F.filter(F.array(mismatch), lambda m: m.isNotNull())
+    return df.select(*[F.col(f"`{k}`") for k in keys], F.inline(found)).select(*keys, "path", "expected", "got")
 
 
 def check_json(df: DataFrame, shape: Shape, text_col: str, keys: list[str]) -> DataFrame:

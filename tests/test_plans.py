@@ -329,6 +329,27 @@ def test_plans_are_the_wanted_ones(spark, tmp_path):
     assert "LeftSemi" in plan
 
 
+def test_plans_of_groups_windows_and_checks(spark, tmp_path):
+    spark.range(100).selectExpr("id as k", "id % 7 as g", "cast(id as double) as x", "concat('s', id % 5) as s", "to_json(named_struct('a', id)) as j").write.parquet(str(tmp_path / "t"))
+    spark.range(7).selectExpr("id as g", "id * 2 as w").write.parquet(str(tmp_path / "u"))
+    tables = {n: spark.read.parquet(str(tmp_path / n)) for n in "tu"}
+    plan = explained(compile("t | group_by(.s) | map({s: .[0].s, n: length, x: (map(.x) | add)})").over(tables))
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "HashAggregate" in physical and "SortAggregate" not in physical
+    assert "Sort [" not in physical and "rangepartitioning" not in physical  # nobody asked for an order
+    assert "rangepartitioning" in explained(compile("t | group_by(.g) | map({g: .[0].g, n: length}) | sort_by(.n)").over(tables))
+    plan = explained(compile("t | group_by(.g) | map(sort_by(.k) as $a | range(($a | length) - 1) as $i | {d: ($a[$i + 1].x - $a[$i].x)})").over(tables))
+    assert "lead(x" in plan and "ReadSchema: struct<k:bigint,g:bigint,x:double>" in plan
+    plan = explained(compile("t | group_by(.g) | map(sort_by(.k) | foreach .[] as $r (0; . + $r.x))").over(tables))
+    assert "unboundedpreceding$()" in plan and "MapInArrow" not in plan
+    plan = explained(compile("u[] as $b | {w: $b.w, n: ([t[] | select(.g == $b.g)] | length)}").over(tables))
+    assert "LeftOuter" in plan and "partial_count" in plan and "NestedLoop" not in plan
+    plan = explained(compile("u[] as $b | {w: $b.w, x: ([t[] | select(.g == $b.g and .k <= $b.w)] | max_by(.k) | .x)}").over(tables))
+    assert "Window" in plan and "Join" not in plan[plan.index("== Physical Plan ==") :]
+    plan = explained(compile(".a - 1").check(tables["t"], json="j", keys=["k"]))
+    assert plan[plan.index("== Physical Plan ==") :].lower().count("parse_json") <= 1 and "Generate" in plan
+
+
 def test_unsupported_programs_say_so(spark):
     t = {"t": spark.range(3)}
     programs = ("t | .[1:2]", "t | first", "t | walk(.)", ". | 1", "t | group_by(.id)", "t | to_entries", "last(t[])", "reduce t[] as $r (0; . * 2 + $r.id)", "t | sort_by(.id) as $a | range($a | length) as $i | $a[$i * 2]")
