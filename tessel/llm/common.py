@@ -17,6 +17,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 _local_dirs: list[tempfile.TemporaryDirectory] = []
+#: Paths that stored() has made and that aren't deleted yet, with what deletes them.
+_made: dict[str, tuple] = {}
 #: Paths that stored() has made inside each open released() block, the innermost last.
 _open_blocks: list[list[str]] = []
 
@@ -45,17 +47,30 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
     This cuts lineage: a lost executor costs only the tasks that read the
     table, and several readers never compute df twice with different results.
+    What is still there when the driver's Python ends is deleted then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessel-{label}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_delete_at_exit)
+    _made[path] = (spark._jvm, spark.sparkContext._jsc.hadoopConfiguration())
     for block in _open_blocks[-1:]:
         block.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete_at_exit() -> None:
+    """Results that were still to be computed can't be any more, so their stored tables go."""
+    for path, (jvm, conf) in _made.items():
+        with contextlib.suppress(Exception):  # the JVM may have ended, or the folder gone
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file systems, wherever it lies."""
+    _made.pop(path, None)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -71,7 +86,7 @@ def released(spark: SparkSession) -> Iterator[None]:
     """Delete at the end what stored() makes inside: for results that are written before the block ends.
 
     A result that is still to be computed needs its stored tables, so plain
-    queries leave them in the shared folder.
+    queries leave them in the shared folder until the driver ends.
     """
     _open_blocks.append([])
     try:
