@@ -151,9 +151,17 @@ def needed(v: Val, given: Val | None = None, what: str = "") -> Val:
     return v
 
 
+#: Names that schema_of_variant has for numbers, beside decimals.
+_NUMBERS = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE")
+
+
+def is_number_type(s: Column) -> Column:
+    return s.isin(*_NUMBERS) | s.startswith("DECIMAL")
+
+
 def _variant_is(c: Column, kind: str) -> Column:
     s = F.schema_of_variant(c)
-    return {"number": s.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), "array": s.startswith("ARRAY"), "object": s.startswith("OBJECT"), "string": s == "STRING", "boolean": s == "BOOLEAN", "null": s == "VOID"}[kind]
+    return {"number": is_number_type(s), "array": s.startswith("ARRAY"), "object": s.startswith("OBJECT"), "string": s == "STRING", "boolean": s == "BOOLEAN", "null": s == "VOID"}[kind]
 
 
 def as_array(v: Val, quiet: bool = False) -> Val:

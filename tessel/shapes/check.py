@@ -90,7 +90,7 @@ def _kind(v: Column) -> Column:
     """Type name of a variant; a missing one (SQL null) has kind missing."""
 
     def named(s: Column) -> Column:
-        number = s.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)")
+        number = s.isin("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE") | s.startswith("DECIMAL")
         return F.when(s.isNull(), "missing").when(s == "VOID", "null").when(s == "BOOLEAN", "boolean").when(s == "STRING", "string").when(number, "number").when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object").otherwise("other")
 
     return _let(F.schema_of_variant(v), named)
