@@ -314,8 +314,8 @@ def _group_links(percent: int) -> Callable:
     return run
 
 
-def _late_links(multi: DataFrame, tops: DataFrame, comps: DataFrame, rows: DataFrame, percent: int, words: int) -> DataFrame:
-    """Verified links between components inside a bucket, compared in blocks of members.
+def _late_links(multi: DataFrame, tops: DataFrame, comps: DataFrame, rows: DataFrame, percent: int, words: int) -> DataFrame | None:
+    """Verified links between components inside a bucket, compared in blocks of members; None if no bucket is mixed.
 
     Per bucket, members of the top's component (side 1) meet only the others
     (side 0), the others also each other. A member of side 1 is sent once per
@@ -340,6 +340,8 @@ def _late_links(multi: DataFrame, tops: DataFrame, comps: DataFrame, rows: DataF
     side = F.when(F.col("_group.kind") == 1, F.col("_side")).otherwise(F.lit(0).cast("long"))
     keyed = sent.select("_bucket", F.concat_ws(":", "_group.kind", "_group.i", "_group.j").alias("_key"), side.alias("_s"), "_row", "_comp")
     keyed = stored(keyed, "near-members")
+    if keyed.isEmpty():
+        return None
     # Only the members' sketches move.
     sketches = rows.select("_row", "_n", "_bands", "_regs").join(_limited(stored(keyed.select("_row").distinct(), "near-rows")), "_row", "left_semi")
     order = ["_bucket", "_key", "_s", "_row", "_comp", "_n", "_bands", "_regs"]
@@ -374,8 +376,10 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, percent: int, words: i
     tops = stored(ranked.groupBy("_bucket").agg(F.max("_rank").alias("_best")).select("_bucket", (-F.col("_best._minus")).alias("_top"), "_best"), "near-tops")
     proposals = multi.join(tops, "_bucket").groupBy("_row").agg(F.max("_best").alias("_best")).select(F.col("_row").alias("a"), (-F.col("_best._minus")).alias("b")).where("a <> b")
     early = _verified(stored(proposals, "near-proposals"), rows, percent, words)
-    late = _late_links(multi.select("_bucket", "_row"), tops, components(early), rows, percent, words)
-    comps = components(early.union(late))
+    comps = components(early)
+    late = _late_links(multi.select("_bucket", "_row"), tops, comps, rows, percent, words)
+    if late is not None and not late.isEmpty():
+        comps = components(early.union(late))
     narrow = None if kind == "bigint" else False  # strings have no known width
     # Of linked classes only: the others stand for themselves.
     linked = stored(classes.join(comps.withColumnRenamed("node", "_node"), "_node"), "near-linked")
