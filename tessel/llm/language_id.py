@@ -38,11 +38,28 @@ def words_of(text: str) -> list[str]:
     return "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
 
 
-def word_features(word: str) -> np.ndarray:
-    """Hashed places of a lower-case word's n-grams (1 to 4 characters, with borders) and of itself."""
-    bordered = f"<{word}>"
-    grams = [bordered[i : i + n] for n in (1, 2, 3, 4) for i in range(len(bordered) - n + 1)] + [f"={word}"]
-    return np.array([zlib.crc32(g.encode()) % DIMENSIONS for g in grams])
+_FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed places of lower-case words' n-grams (1 to 4 characters, with borders) and of the words themselves, and whose each is.
+
+    All words are hashed at once, as rolling hashes over one array of characters.
+    """
+    code = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    whole = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % DIMENSIONS for w in words], np.int64)
+    places, owners = [whole], [np.arange(len(words))]
+    h = np.zeros(len(code), np.uint64)
+    for k in range(min(4, len(code))):
+        n = len(code) - k
+        h = (h[:n] + np.uint64(1)) * _FACTOR + code[k:]
+        inside = owner[:n] == owner[k:]
+        mixed = h[inside]
+        mixed = (mixed ^ (mixed >> np.uint64(33))) * _MIX
+        places.append(((mixed ^ (mixed >> np.uint64(29))) % np.uint64(DIMENSIONS)).astype(np.int64))
+        owners.append(owner[:n][inside])
+    return np.concatenate(places), np.concatenate(owners)
 
 
 def text_features(text: str) -> np.ndarray | None:
@@ -50,10 +67,10 @@ def text_features(text: str) -> np.ndarray | None:
     words = words_of(text)
     if not words:
         return None
-    places, counts = np.unique(np.concatenate([word_features(w) for w in words]), return_counts=True)
-    out = np.zeros(DIMENSIONS, np.float32)
-    out[places] = counts / len(words)
-    return out
+    out = np.zeros(DIMENSIONS)
+    for at in range(0, len(words), 20_000):
+        out += np.bincount(features_of(words[at : at + 20_000])[0], minlength=DIMENSIONS)
+    return (out / len(words)).astype(np.float32)
 
 
 @dataclass
@@ -122,24 +139,36 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
+        self.weights = np.ascontiguousarray(model.weights)
         # Many languages have many outputs a word; the bound on bytes then holds fewer words.
-        self.rows = max(1024, min(CACHE_WORDS, CACHE_BYTES // (8 * model.weights.shape[1])))
-        self.table = np.zeros((self.rows, model.weights.shape[1]))
-
-    def _row(self, word: str) -> int:
-        row = self.known[word] = len(self.known)
-        self.table[row] = self.model.weights[word_features(word)].sum(axis=0)
-        return row
+        outputs = model.weights.shape[1]
+        self.rows = max(1024, min(CACHE_WORDS, CACHE_BYTES // (8 * outputs)))
+        self.at_once = max(64, 2_000_000 // (32 * outputs))
+        self.table = np.zeros((self.rows, outputs))
+
+    def _learn(self, words: list[str]) -> None:
+        """Put the scores of new words into the table."""
+        for at in range(0, len(words), self.at_once):
+            part = words[at : at + self.at_once]
+            places, owners = features_of(part)
+            order = np.argsort(owners, kind="stable")
+            first = np.searchsorted(owners[order], np.arange(len(part)))
+            base = len(self.known)
+            self.table[base : base + len(part)] = np.add.reduceat(self.weights[places[order]], first, axis=0)
+            self.known.update(zip(part, range(base, base + len(part))))
 
     def outputs(self, words: list[str]) -> np.ndarray:
         total = np.zeros(self.table.shape[1])
         step = min(50_000, self.rows)
         for at in range(0, len(words), step):
             part = words[at : at + step]
-            if len(self.known) + len(part) > self.rows:
+            new = list(dict.fromkeys(w for w in part if w not in self.known))
+            if len(self.known) + len(new) > self.rows:
                 self.known.clear()
-            known = self.known
-            rows = [known[w] if w in known else self._row(w) for w in part]
+                new = list(dict.fromkeys(part))
+            if new:
+                self._learn(new)
+            rows = np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))
             total += self.table[rows].sum(axis=0)
         return total / len(words) + self.model.bias
 
