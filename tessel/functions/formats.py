@@ -1,4 +1,4 @@
-"""@format strings."""
+"""@format strings, and the years of dates."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ from typing import Any
 
 from ..values import Failure, number_text, show, to_json, tostring, type_of
 
+#: Seconds of 400 years, after which the calendar repeats; dates lie within DATES seconds of 1970. Years have four digits, or as many as they need.
+CYCLE, DATES, YEARS = 146_097 * 86_400, 1e18, r"\d{4}|[1-9]\d{4,10}|-[1-9]\d{0,10}"
+
 
 def _cells(v: Any, what: str) -> list:
     if not isinstance(v, list):

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.formats import CYCLE, DATES, YEARS
 from ..lang import ast as A
 from .columns import BOOLEAN, DOUBLE, LONG, STRING, VARIANT, Columns, LoweringError, Val, array_of, as_array, as_number, as_string, cast, common_type, element, items_of, java_pattern, literal, needed, number, of_column, regex_literal, truthy
 from .failures import collecting, each, note
@@ -526,21 +528,47 @@ def _del(cols, v, env, path):
     raise LoweringError("this deletion is left to the interpreter")
 
 
+def _once(c: Column, f: Callable) -> Column:
+    """f of a column that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 @rule("todate", "todateiso8601")
 def _todate(cols, v, env):
-    seconds = F.floor(cast(as_number(v), DOUBLE))
-    held = F.abs(seconds) < 100_000_000_000  # years of four digits, and some more
+    given = cast(as_number(v), DOUBLE)
+    held = F.abs(given) < DATES
     note(~held)
-    return Val(F.when(held, F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")), STRING)
+
+    def other(s: Column) -> Column:
+        """Spark's dates end at some year, and others than 1 to 9999 get signs or eras: they are written by the cycle that serves all."""
+        rest = F.pmod(s, F.lit(CYCLE))
+        at = F.timestamp_seconds(rest)
+        year = F.year(at) + F.round((s - rest) / CYCLE).cast("long") * 400
+        return F.concat(F.regexp_replace(year.cast("string"), "^0$", "0000"), F.date_format(at, "-MM-dd'T'HH:mm:ss'Z'"))
+
+    def date(s: Column) -> Column:
+        return F.when(s.between(-62_135_596_800, 253_402_300_799), F.date_format(F.timestamp_seconds(s), "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(other(s))
+
+    return Val(_once(F.when(held, F.floor(given)), date), STRING)
 
 
 @rule("fromdate", "fromdateiso8601")
 def _fromdate(cols, v, env):
-    text = as_string(v, quiet=True).column
+    parsed = lambda t: F.unix_timestamp(F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ssX")))
+
+    def other(t: Column) -> Column:
+        """Of years that the parser doesn't read: the same day in the cycle from 2000, moved by whole cycles."""
+
+        def moved(year: Column) -> Column:
+            near = F.pmod(year, F.lit(400)) + 2000
+            return parsed(F.concat(near.cast("string"), F.substring(t, -16, 16))) + F.round((year - near) / 400).cast("long") * CYCLE
+
+        return _once(F.substr(t, F.lit(1), F.length(t) - 16).try_cast("long"), moved)
+
     # The form is checked first: the parser's own idea of a date is wider.
-    formed = F.coalesce(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$"), F.lit(False))
-    at = F.when(formed, F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssX")))
+    form = r"-\d\d-\d\dT\d\d:\d\d:\d\dZ$"
+    at = _once(as_string(v, quiet=True).column, lambda t: F.when(t.rlike(rf"^(?!0000)\d{{4}}{form}"), parsed(t)).when(t.rlike(f"^({YEARS}){form}"), other(t)))
     message = F.concat(F.lit("date "), cols.shown(v), F.lit(" does not match format %Y-%m-%dT%H:%M:%SZ"))
     as_string(v)
     note(at.isNull(), "argument", message)
-    return Val(F.unix_timestamp(at).cast("long"), LONG)
+    return Val(at, LONG)

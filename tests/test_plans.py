@@ -133,6 +133,34 @@ def test_certain_failures_stay_native(spark):
     assert "MapInArrow" in mixed and "Union" in mixed
 
 
+#: Seconds and their dates: years beyond four digits, short ones, none and those before.
+DATES = [
+    (253402300799, "9999-12-31T23:59:59Z"), (253402300800, "10000-01-01T00:00:00Z"), (777599913600, "26611-03-01T00:00:00Z"), (100000000000, "5138-11-16T09:46:40Z"), (951782400, "2000-02-29T00:00:00Z"),
+    (13574563200, "2400-02-29T00:00:00Z"), (-30610224000, "1000-01-01T00:00:00Z"), (-30610224001, "0999-12-31T23:59:59Z"), (-62167219200, "0000-01-01T00:00:00Z"), (-62167219201, "-1-12-31T23:59:59Z"), (-1, "1969-12-31T23:59:59Z"),
+]
+
+
+def test_dates_of_all_years(spark):
+    df = spark.createDataFrame([(k, s, float(s) + 0.25, d) for k, (s, d) in enumerate(DATES)], "k int, n long, x double, s string")
+    dates, ks = [d for _, d in DATES], range(len(DATES))
+    for program, expected in ((".n | todate", dates), (".x | todate", dates), (".s | fromdate", [s for s, _ in DATES]), (".n | todate | fromdate", [s for s, _ in DATES])):
+        p = compile(program)
+        assert p.plan(df) == "typed", program
+        assert [r["value"] for r in p.run(df, keys=["k"]).orderBy("k").collect()] == expected, program
+        assert [r["value"] for r in compile(f"t[] | {{k: .k, value: ({program})}}").over({"t": df}).orderBy("k").collect()] == expected, program
+        documents = [{"n": float(s), "x": s + 0.25, "s": d} for s, d in DATES]
+        assert [run_program(p.node, documents[k]) for k in ks] == [[e] for e in expected], program
+
+
+def test_what_is_no_date(spark):
+    texts = ["02024-05-06T07:08:09Z", "-0-01-01T00:00:00Z", "10000-02-30T00:00:00Z", "123456789012-01-01T00:00:00Z", "2024-05-06T07:08:09Z\n", "99-01-01T00:00:00Z"]
+    df = spark.createDataFrame([(k, s, x) for k, (s, x) in enumerate(zip(texts, [1e18, -1e18, 1e300, -5e18, 3e20, 1e19]))], "k int, s string, x double")
+    for program, column in ((".s | fromdate", "s"), (".x | todate", "x")):
+        found = [r["error"] for r in compile(program).run(df, keys=["k"]).orderBy("k").collect()]
+        exact = [run_program(compile(program).node, {column: r[column]})[0] for r in df.orderBy("k").collect()]
+        assert [tuple(e) for e in found] == [(e.code, e.message) for e in exact], program
+
+
 def test_sums_of_small_and_large_fractions(spark):
     df = spark.createDataFrame([(1, 0.00001), (1, 0.00001), (1, 0.00001), (2, 1e15), (2, 0.5)], "g int, x double")
     out = {r["g"]: r["s"] for r in compile("t | group_by(.g) | map({g: .[0].g, s: (map(.x) | add)})").over({"t": df}).collect()}
