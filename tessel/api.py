@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from .lang import ast as A
 from .lang.modules import Library, parse_with_modules
-from .operators.documents import ERROR, document_text, run_documents, run_json, spread, with_interpreted
+from .operators.documents import ERROR, document_text, run_batches, run_documents, run_json, spread, with_interpreted
 from .operators.shape_ops import check_json, check_rows
+from .plans.batches import NotBatched
 from .plans.columns import Columns, LoweringError, of_column
 from .plans.failures import collecting
 from .plans.relational import Relational
@@ -61,7 +62,7 @@ class Program:
         return run_program(self.node, value, variables, inputs)
 
     def plan(self, df: DataFrame, json: str | None = None) -> str:
-        """The tier that run takes: typed, json, or interpreter."""
+        """The tier that run takes: typed, json, batch, or interpreter."""
         return self._run(df, _keys(df, None, json), json)[0]
 
     def explain(self, df: DataFrame, json: str | None = None) -> str:
@@ -87,6 +88,11 @@ class Program:
             except LoweringError:
                 if tier:
                     raise
+        if tier is None and not json:
+            try:
+                return "batch", run_batches(df, node, keys)
+            except NotBatched:
+                pass
         df = spread(df)
         if json:
             return "interpreter", run_json(df, node, json, keys)

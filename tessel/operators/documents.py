@@ -2,7 +2,8 @@
 
 Every output is a row (key columns, ord, value, error). Three tiers are tried:
 typed columns, JSON text read with the schema the program needs, and the
-interpreter in Arrow batches; explain tells which one a program takes.
+interpreter in Arrow batches, which computes loops of numbers for a whole batch
+at once; explain tells which one a program takes.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..lang import ast as A
+from ..plans.batches import column_kinds, columns_used
 from ..plans.columns import Columns, Val, condition, of_column
 from ..plans.failures import Failures, collecting
 
@@ -142,5 +144,62 @@ def _interpret(node: A.Node, n_keys: int) -> Callable:
 def run_json(df: DataFrame, node: A.Node, text_col: str, keys: list[str]) -> DataFrame:
     """Tier 3: the interpreter over a column of JSON texts; value is JSON text, a null text has no outputs."""
     rows = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text_col}`").cast("string").alias("_json"))
-    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("ord", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("error", T.DataType.fromDDL(ERROR))])
-    return rows.mapInArrow(_interpret(node, len(keys)), schema)
+    return rows.mapInArrow(_interpret(node, len(keys)), _output_schema(df, keys))
+
+
+def _output_schema(df: DataFrame, keys: list[str]) -> T.StructType:
+    return T.StructType([*(df.schema[k] for k in keys), T.StructField("ord", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("error", T.DataType.fromDDL(ERROR))])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16, size: int = 1 << 26) -> Iterator[pa.RecordBatch]:
+    """Larger batches, of that many rows or bytes: a loop's last rounds cost the same for many rows as for few."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _compute(node: A.Node, n_keys: int, kinds: dict[str, str]) -> Callable:
+    interpret = _interpret(node, n_keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..plans.batches import BOOLEAN, lowered
+
+        compute = lowered(node, kinds)
+        error = pa.struct([("code", pa.string()), ("message", pa.string())])
+        for batch in _gathered(batches):
+            texts = batch.column(n_keys)
+            if texts.null_count < len(texts):
+                yield from interpret(iter([batch.filter(texts.is_valid())]))
+                batch = batch.filter(texts.is_null())
+            n = batch.num_rows
+            if n:
+                columns = {name: batch.column(n_keys + 1 + i).to_numpy(zero_copy_only=False).astype(bool if kind == BOOLEAN else float) for i, (name, kind) in enumerate(kinds.items())}
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i) for i in range(n_keys)), pa.array([0] * n, pa.int32()), compute(columns, n), pa.nulls(n, error)],
+                    names=[*batch.schema.names[:n_keys], "ord", "value", "error"],
+                )
+
+    return run
+
+
+def run_batches(df: DataFrame, node: A.Node, keys: list[str]) -> DataFrame:
+    """Tier 3 for programs of numbers: whole batches at once, rows with a null or a number that JSON doesn't have per document.
+
+    Raises NotBatched where the program needs the interpreter for all rows.
+    """
+    kinds = column_kinds(df.schema)
+    kinds = {name: kinds[name] for name in columns_used(node, kinds)}
+    df = spread(df)
+    odd = F.lit(False)
+    for name in kinds:
+        c = F.col(f"`{name}`")
+        odd = odd | c.isNull()
+        if isinstance(df.schema[name].dataType, T.DoubleType):
+            odd = odd | F.isnan(c) | (F.abs(c) == float("inf"))
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], F.when(odd, document_text(df)).alias("_json"), *[F.col(f"`{name}`").alias(f"_column{i}") for i, name in enumerate(kinds)])
+    return rows.mapInArrow(_compute(node, len(keys), kinds), _output_schema(df, keys))

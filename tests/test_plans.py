@@ -191,6 +191,39 @@ def test_interpreter_tier_for_the_rest(rows):
     assert any(r["error"] is not None for r in failing)
 
 
+BATCHED = [
+    ".n | until(. > 100; . + 7)", "[.n, 0] | until(.[0] > 9; [.[0] + 1, .[1] + 1]) | .[1]", "if .n > 0 then (.n | until(. < 1; . - 1)) else -1 end", ".n > 0 and (.n | until(. <= 0; . - 1)) == 0", ".n < 1 or (.n | until(. <= 0; . - 2)) < 0",
+    "[.x / .n, .x % .n, .n % 3, -.n % 3, .n % -3, -.x, .n == 1, .f] | until(true; .)", "[.x < .n, .x <= .n, .x > .n, .x >= .n, .x == .n, .x != .n, .f == true] | until(true; .)", "[.big + 1, .big % 7, -.big % 3, .big * .big] | until(true; .)",
+    "[.x / 0, .x % 0, 0 / .x, (.x / 0 | . < 1), (1 < (0 / 0)), ((0 / 0) >= (0 / 0)), ((0 / 0) < (0 / 0))] | until(true; .)", "[1 / (.n % 1), 1 / (-.n % 1), 1 / .x] | until(true; .)", "[[1, [.n]], true, []] | until(true; .) | [.[0][1][-1], .[2]]",
+    "[0, 1] | until(.[0] >= 5; [.[0] + 1, .[1] * 2])", "[.f, .n] | until(.[0] or .[1] > 3; [.[0], .[1] + 1])", "[.n, .n] | until(.[0] > 20; if .[1] % 2 == 0 then [.[0] + 1, .[1] / 2] else [.[0] + 1, (.[1] | until(. % 2 == 0; . * 3 + 1))] end)",
+]
+
+
+def test_batches_agree_with_the_interpreter(spark):
+    rows = [(1, 3, 2.5, 5, True), (2, None, 1.0, 1, False), (3, 0, -0.5, 2**62, None), (4, -2, 0.0, -(2**62) - 1, True), (5, 17, float("nan"), 0, False), (6, 1, float("inf"), 7, True), (7, 64, -0.0, 2**53 + 1, False), (8, 9, 1e17, -(2**53), True), (9, -5, None, None, False), (10, 27, 12345.678, -7, False)]
+    df = spark.createDataFrame(rows, "k int, n int, x double, big long, f boolean").coalesce(1).cache()
+    shown = lambda out: sorted((r["k"], r["ord"], r["value"], r["error"] and tuple(r["error"])) for r in out.collect())
+    for program in BATCHED:
+        p = compile(program)
+        assert p.plan(df) == "batch", program
+        assert shown(p.run(df, keys=["k"])) == shown(p.run(df, keys=["k"], tier="interpreter")), program
+
+
+def test_what_batches_leave_to_the_interpreter(spark):
+    df = spark.createDataFrame([(1, 3, "ab", 1.5)], "k int, n int, s string, y float")
+    for program in (".s | until(true; .)", "[.n, null] | until(true; .)", ".n | until(. == \"x\"; \"x\")", "until(true; .)", "[.] | until(true; .)", ".missing | until(true; .)", ".y | until(true; .)", "def until(a; b): 5; .n | until(true; .)", ".n | until(. > 9; . + 1, . + 2)", "[.n] | .[1] | until(true; .)"):
+        assert compile(program).plan(df) != "batch", program
+
+
+def test_loops_over_many_rows(spark):
+    """Half a million rows of some hundred steps each are the work of seconds in batches, also where batches are gathered."""
+    df = spark.range(500_000).withColumnRenamed("id", "n")
+    p = compile("[.n, 0] | until(.[1] >= 100 + .[0] % 50; [.[0], .[1] + 1]) | .[1]")
+    assert p.plan(df) == "batch"
+    assert p.run(df, keys=["n"]).where("value <> string(100 + n % 50) or error is not null or ord <> 0").count() == 0
+    assert p.run(df, keys=["n"]).selectExpr("count(distinct n)").first()[0] == 500_000
+
+
 def test_json_tier(spark):
     docs = spark.createDataFrame([(1, '{"a": 2, "b": [1, 2]}'), (2, '{"a": "x", "b": []}'), (3, "not json"), (4, None)], "id int, j string")
     p = compile("{d: (.a * 2 - 1), n: ([.b[] | . - 1] | length)}")
